@@ -1,4 +1,7 @@
 """Queries of the reference's own operators."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quarrylens.plans import relate_queries, stat_queries
+
+_MODULES = [stat_queries, relate_queries]
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
