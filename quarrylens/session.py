@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,19 @@ def session(app: str = "quarrylens", cores: int | str = 8, **conf: str) -> Spark
     for k, v in (base | conf).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    share_code(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

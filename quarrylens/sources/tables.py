@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylens.session import share_code
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the folder: one Parquet file or a folder of them."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
