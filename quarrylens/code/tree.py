@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 
 
+_LINE_END = re.compile(r"\r\n|\r|\n")  # as the parser counts lines
+
+
 class Source:
     """A text that parses, with character spans for its nodes (the parser counts bytes)."""
 
     def __init__(self, text: str):
         self.text = text
         self.tree = ast.parse(text)
-        self.starts = [0]
-        for line in text.split("\n"):
-            self.starts.append(self.starts[-1] + len(line) + 1)
-        self.lines = text.split("\n")
+        ends = [m.span() for m in _LINE_END.finditer(text)]
+        self.starts = [0, *(b for _, b in ends)]
+        self.lines = [text[a:b] for a, b in zip(self.starts, [*(a for a, _ in ends), len(text)])]
 
     def at(self, line: int, col: int) -> int:
         row = self.lines[line - 1]

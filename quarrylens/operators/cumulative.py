@@ -45,7 +45,10 @@ def _name(p: float) -> str:
 
 
 def linear_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[float]) -> DataFrame:
-    """``(groups..., n, p..)``: exact percentiles, linear between ranks. Null and NaN values are left out."""
+    """``(groups..., n, p..)``: exact percentiles, linear between ranks. Null and NaN values are left out.
+
+    Without groups there is one row, of nulls over an empty table; so too for ``nearest_rank``.
+    """
     cum = _counted(df, groups, value)
     picks = []
     for p in ps:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.operators.cumulative import cumulative
@@ -46,32 +47,47 @@ def best_f1(df: DataFrame, score: str, positive: str, lo: float, hi: float, step
     slot = F.floor(inside).cast("int")
     pos = F.coalesce(F.col(positive), F.lit(False)).cast("long")
     g = df.filter(F.col(score).isNotNull()).groupBy(slot.alias("slot")).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
-    # at most steps + 1 rows from here on
-    t = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("i"))
-    tall = t.join(F.broadcast(g), F.col("slot") >= F.col("i"), "left").groupBy("i").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
-    total = g.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"))
-    tall = tall.join(F.broadcast(total))
+    # steps + 1 rows from here on: slot -1 holds what no threshold lets through
+    t = df.sparkSession.range(-1, steps).select(F.col("id").cast("int").alias("slot"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    all_ = W.partitionBy(F.lit(0))
+    down = all_.orderBy(F.desc("slot"))
+    tall = t.join(g, "slot", "left").select(F.col("slot").alias("i"), zero(F.sum("pos").over(down)).alias("tp"), zero(F.sum("neg").over(down)).alias("fp"), zero(F.sum("pos").over(all_)).alias("p")).filter("i >= 0")
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp") + eps), F.col("tp") / (F.col("p") + eps)
     tall = tall.select("i", (F.lit(lo) + F.col("i") * F.lit(width)).alias("threshold"), precision.alias("precision"), recall.alias("recall")).withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + eps))
     return tall.agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("f1", -F.col("i"))).alias("b")).select("b.*")
 
 
-def retrieval_ranks(queries: DataFrame, candidates: DataFrame, key: str, vec: str, truth: str, block: int = 4096) -> DataFrame:
+def retrieval_ranks(queries: DataFrame, candidates: DataFrame, key: str, vec: str, truth: str, part_rows: int = 50_000, block: int = 4096) -> DataFrame:
     """``(key, truth, similarity, rank)``: the rank of each query's true candidate among all, by cosine; ties do not hurt.
 
-    ``queries`` has key, vec and truth, the key of its candidate; ``candidates`` has key and vec. Each block of
-    queries is one matrix product per Arrow batch of candidates, a stated query set against all rows in
-    blocks; queries are collected, so they are the small side and are checked against 200,000.
+    ``queries`` has key, vec and truth, the key of its candidate; ``candidates`` has key and vec. A stated query
+    set against all rows: queries go out in parts of about ``part_rows``, each a pass over the candidates in
+    which blocks of queries meet Arrow batches in matrix products; nothing is shuffled but one count a query.
+    Queries whose candidate is missing, and null vectors, give no row.
     """
-    rows = queries.select(key, truth, vec).limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("too many queries; run them in parts")
-    qk = [r[0] for r in rows]
-    tk = [r[1] for r in rows]
-    q = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    sent = queries.sparkSession.sparkContext.broadcast((qk, tk, q))
+    queries = queries.select(key, truth, vec).filter(F.col(vec).isNotNull())
+    candidates = candidates.select(key, vec).filter(F.col(vec).isNotNull())
+    parts = max(1, -(-queries.count() // part_rows))
+    out = None
+    for p in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p).collect()
+        got = _ranks(rows, candidates, key, vec, truth, block)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _ranks(rows: list, candidates: DataFrame, key: str, vec: str, truth: str, block: int) -> DataFrame:
+    spark = candidates.sparkSession
     kt = candidates.schema[key].dataType.simpleString()
+    own_schema = f"`{key}` {kt}, `{truth}` {kt}, similarity double"
+    if not rows:
+        return spark.createDataFrame([], own_schema + ", rank bigint")
+    sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], _unit(np.array([r[2] for r in rows], dtype=np.float64))))
 
     def own(batches):
         qk, tk, q = sent.value
@@ -86,9 +102,9 @@ def retrieval_ranks(queries: DataFrame, candidates: DataFrame, key: str, vec: st
                     out.append((qk[i], tk[i], float(q[i] @ c / max(np.linalg.norm(c), 1e-300))))
             yield pd.DataFrame(out, columns=[key, truth, "similarity"])
 
-    self_sim = candidates.select(key, vec).mapInPandas(own, f"`{key}` {kt}, `{truth}` {kt}, similarity double").collect()
-    mine = {r[0]: r[2] for r in self_sim}
-    base = queries.sparkSession.sparkContext.broadcast(np.array([mine.get(k, np.nan) for k in qk]))
+    sims = candidates.mapInPandas(own, own_schema).collect()
+    mine = {r[0]: r[2] for r in sims}
+    base = spark.sparkContext.broadcast(np.array([mine.get(r[0], np.nan) for r in rows]))
 
     def count(batches):
         qk, _, q = sent.value
@@ -96,12 +112,10 @@ def retrieval_ranks(queries: DataFrame, candidates: DataFrame, key: str, vec: st
         for pdf in batches:
             if not len(pdf):
                 continue
-            c = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+            c = _unit(np.stack(pdf[vec].to_numpy()).astype(np.float64))
             for a in range(0, len(qk), block):
                 above[a : a + block] += (q[a : a + block] @ c.T > base.value[a : a + block, None] + 1e-12).sum(axis=1)
         yield pd.DataFrame({key: qk, "above": above})
 
-    ranks = candidates.select(key, vec).mapInPandas(count, f"`{key}` {kt}, above bigint").groupBy(key).agg((F.sum("above") + 1).alias("rank"))
-    sims = queries.sparkSession.createDataFrame([tuple(r) for r in self_sim], f"`{key}` {kt}, `{truth}` {kt}, similarity double") if self_sim else queries.sparkSession.createDataFrame([], f"`{key}` {kt}, `{truth}` {kt}, similarity double")
-    return sims.join(ranks, key)
+    ranks = candidates.mapInPandas(count, f"`{key}` {kt}, above bigint").groupBy(key).agg((F.sum("above") + 1).alias("rank"))
+    return spark.createDataFrame([tuple(r) for r in sims], own_schema).join(ranks, key)

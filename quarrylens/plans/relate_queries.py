@@ -168,9 +168,9 @@ SELECT reason, CAST(coalesce(sum(n) FILTER (run_id = b), 0) - coalesce(sum(n) FI
 def set_count_delta(spark: SparkSession, d: str) -> DataFrame:
     """Failure reasons of the last run against the first."""
     s = table(spark, d, "samples")
-    ends = s.agg(F.min("run_id").alias("a"), F.max("run_id").alias("b"))
-    n = s.select("run_id", F.explode("failure_reason_counts").alias("reason", "n")).join(F.broadcast(ends), (F.col("run_id") == F.col("a")) | (F.col("run_id") == F.col("b")))
-    return regress.count_delta(n.filter("run_id = a"), n.filter("run_id = b"), ["reason"], "n")
+    n = s.select("run_id", F.explode("failure_reason_counts").alias("reason", "n"))
+    run = lambda f: n.filter(F.col("run_id") == s.agg(f("run_id")).scalar())
+    return regress.count_delta(run(F.min), run(F.max), ["reason"], "n")
 
 
 @query("SELECT run_id, count(DISTINCT CAST(watermark_params.lsh_d AS VARCHAR)) AS n_values, count(*) FILTER (watermark_params.lsh_d IS NULL) AS n_missing, (count(DISTINCT watermark_params.lsh_d) = 1 AND count(*) FILTER (watermark_params.lsh_d IS NULL) = 0) OR count(*) FILTER (watermark_params.lsh_d IS NULL) = count(*) AS is_uniform FROM samples GROUP BY run_id")

@@ -298,8 +298,8 @@ SELECT s.run_id, round(s.m, 6) AS mean_blocks, round(CASE WHEN x.m <> 0 THEN (s.
 def agg_relative_delta(spark: SparkSession, d: str) -> DataFrame:
     """Each run's mean number of blocks against that of the first run."""
     s = table(spark, d, "samples").groupBy("run_id").agg(F.avg("total_blocks").alias("m"))
-    base = s.agg(F.min_by("m", "run_id").alias("x"))
-    return s.join(F.broadcast(base)).select("run_id", r6(F.col("m"), "mean_blocks"), r6(stats.relative_delta(F.col("m"), F.col("x")), "delta"))
+    base = s.agg(F.min_by("m", "run_id")).scalar()
+    return s.select("run_id", "m", base.alias("x")).select("run_id", r6(F.col("m"), "mean_blocks"), r6(stats.relative_delta(F.col("m"), F.col("x")), "delta"))
 
 
 @query("SELECT run_id, id, round(z_score + 0.5 * least(1.0, num_positions_scored / 16.0) * lexical_z_score, 6) AS joint FROM details WHERE lexical_z_score IS NOT NULL AND isfinite(z_score) AND num_positions_scored IS NOT NULL")

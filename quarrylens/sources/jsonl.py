@@ -16,8 +16,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def unique_ids(df: DataFrame, key: str) -> DataFrame:
     """``df``, failing at run time if an id repeats."""
-    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col(key)))).otherwise(F.col("__n")))
-    return df.join(twice, key).drop("__n")
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    once = n.filter(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col(key))).cast("boolean")).otherwise(F.lit(True)))
+    return df.join(once, key).drop("__n")
 
 
 def id_state(line: Column, field: str = "id") -> Column:
@@ -32,9 +33,8 @@ def tolerant_ids(lines: DataFrame, line: str, field: str = "id", most_malformed:
     """Distinct ids of the good lines; fails at run time if more than the share of lines that are not blank is malformed."""
     s = lines.select(id_state(F.col(line), field).alias("s"), F.get_json_object(line, f"$.{field}").alias(field))
     n = s.agg(F.count_if(F.col("s") == "malformed").alias("bad"), F.count_if(F.col("s") != "blank").alias("all"))
-    gate = n.select(F.when(F.col("bad") > most_malformed * F.col("all"), F.raise_error(F.lit("too many malformed lines"))).otherwise(F.lit(True)).alias("__ok"))
-    # one row, so that the gate is part of the plan
-    return s.filter("s = 'ok'").select(field).distinct().join(F.broadcast(gate), F.col("__ok")).drop("__ok")
+    gate = n.select(F.when(F.col("bad") > most_malformed * F.col("all"), F.raise_error(F.lit("too many malformed lines"))).otherwise(F.lit(True))).scalar()
+    return s.filter("s = 'ok'").select(field).distinct().filter(gate)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
