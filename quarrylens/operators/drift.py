@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KINDS = "string number boolean array object"
+from quarrylens.session import materialize
 
 
 def _strict(_: str):
@@ -182,8 +182,8 @@ def changes(lines: DataFrame, stream: list[str] | None = None, file: str = "file
     """
     stream = stream or ["artifact", "stream"]
     file_cols = [*stream, file, stamp]
-    foot = footers(lines, file_cols, line)
-    files, spans = lifespans(foot, stream, file, stamp)
+    # A row a field and file, read by several branches below: kept, so that the lines are parsed once for it.
+    files, spans = (materialize(t) for t in lifespans(materialize(footers(lines, file_cols, line)), stream, file, stamp))
     on = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     begun = spans.filter(F.col("before").isNull() & (F.col("first_seq") > 1)).select(*stream, F.col("first_seq").alias("seq"), F.lit("added").alias("change"), F.col("path").alias("field_path"))
     ended = spans.filter(F.col("after").isNull() & (F.col("last_seq") < F.col("n_files"))).select(*stream, (F.col("last_seq") + 1).alias("seq"), F.lit("removed").alias("change"), F.col("path").alias("field_path"))
@@ -225,7 +225,7 @@ def changes(lines: DataFrame, stream: list[str] | None = None, file: str = "file
         return pd.DataFrame([(*key, n, o) for n, o in _match(old, new).items()], columns=[*stream, "seq", "field_path", "old_path"])
 
     # One group is the changed fields of one file: bounded by the width of a schema.
-    renamed = prints.groupBy(*stream, "pair").applyInPandas(match, f"{types}, seq int, field_path string, old_path string")
+    renamed = materialize(prints.groupBy(*stream, "pair").applyInPandas(match, f"{types}, seq int, field_path string, old_path string"))
     key = [*stream, "seq"]
     gone = renamed.select(*key, F.lit("removed").alias("change"), F.col("old_path").alias("field_path")).unionByName(renamed.select(*key, F.lit("added").alias("change"), "field_path"))
     plain = moved.alias("m").join(gone.alias("g"), on("m", "g", [*key, "change", "field_path"]), "left_anti")
