@@ -66,7 +66,7 @@ elifs: | 'else' ':' block | 'elif' named ':' block elifs
 while_: 'while' named ':' block orelse
 orelse: | 'else' ':' block
 for_: 'for' targets 'in' exprs ':' block orelse @for
-targets: target_list | target_list ','
+targets: target_list | target_list ',' @tuple
 target_list: target | target_list ',' target @join
 target: bin | '*' bin @starred
 try_: 'try' ':' block 'finally' ':' block | 'try' ':' block excepts orelse | 'try' ':' block excepts orelse 'finally' ':' block | 'try' ':' block groups orelse | 'try' ':' block groups orelse 'finally' ':' block
@@ -287,6 +287,7 @@ _PREFIX = re.compile(r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])\Z")
 _BODY = {q: re.compile(r"(?:[^\\\n%s]|\\[\s\S])*%s" % (q, q)) for q in "'\""} | {q * 3: re.compile(r"(?:[^\\%s]|\\[\s\S]|%s(?!%s))*%s" % (q, q, q * 2, q * 3)) for q in "'\""}
 _ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})?|u([0-9a-fA-F]{4})?|U([0-9a-fA-F]{8})?|N(\{[^}\n]*\})?|[\s\S])")
 _AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b|[^\w]|\Z")
+_CONVERSION = re.compile(r"[sra](?!\w)")
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -352,12 +353,18 @@ def _lex(src: str) -> Iterator[tuple[str, int, object]]:
     while True:
         if line_start and not stack:
             line_start = False
-            col = alt = 0
-            while pos < end and src[pos] in " \t\f":
+            col = alt = first = 0
+            while pos < end and (src[pos] in " \t\f" or src.startswith("\\\n", pos)):
                 c = src[pos]
+                if c == "\\":
+                    # blanks before a continuation are the line's indentation, if there are any
+                    first, pos = first or col, pos + 2
+                    continue
                 col, alt = (0, 0) if c == "\f" else ((col // 8 + 1) * 8, alt + 1) if c == "\t" else (col + 1, alt + 1)
                 pos += 1
-            if pos < end and src[pos] not in "#\n" and not src.startswith("\\\n", pos):
+            if first:
+                col = alt = first
+            if pos < end and src[pos] not in "#\n":
                 have = indents[-1]
                 if col == have[0]:
                     if alt != have[1]:
@@ -406,6 +413,8 @@ def _lex(src: str) -> Iterator[tuple[str, int, object]]:
                     yield "f}", at, None
                     pos = yield from _fstring(src, pos, quote, raw, stack, at, spec)
                     continue
+                if text == "!" and not _CONVERSION.match(src, pos):
+                    raise ParseError(at, "! must be followed by s, r or a")
                 if text in (":", ":="):
                     pos = at + 1
                     yield "f:", at, None
@@ -425,7 +434,7 @@ def _lex(src: str) -> Iterator[tuple[str, int, object]]:
             has_tokens = True
             if text[0] == "0" and len(text) > 1 and text.replace("_", "").isdigit() and text.strip("0_"):
                 raise ParseError(at, "leading zeros in a number")
-            if not _AFTER_NUMBER.match(src, pos):
+            if not _AFTER_NUMBER.match(src, pos) or (text == "0" and src[pos : pos + 1] in tuple("oOxXbB")):
                 raise ParseError(at, "invalid number")
             yield "NUMBER", at, None
         elif kind == "newline":

@@ -74,7 +74,9 @@ class _Doc:
             below = node.kids.get(k)
             if below is None:
                 below = node.kids[k] = _Node("dotted")
-            elif below.kind != "dotted" and not (below.kind == "implied" and False):
+            elif below.kind == "implied":
+                below.kind = "dotted"
+            elif below.kind != "dotted":
                 raise ParseError(at, f"{k} is defined elsewhere")
             node = below
         if key[-1] in node.kids:
@@ -147,10 +149,7 @@ def _unescape(body: str, at: int) -> str:
 
 def _quoted(src: str, pos: int, multi: bool) -> tuple[str, int]:
     q = src[pos]
-    if src.startswith(q * 3, pos) and (multi or not src.startswith(q * 2 + q, pos) or True):
-        if not multi:
-            m = (_BASIC if q == '"' else _LITERAL).match(src, pos)  # an empty key; what follows it is then wrong
-            return "", m.end()
+    if multi and src.startswith(q * 3, pos):
         m = (_ML_BASIC if q == '"' else _ML_LITERAL).match(src, pos)
     else:
         m = (_BASIC if q == '"' else _LITERAL).match(src, pos)

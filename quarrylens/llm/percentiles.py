@@ -27,12 +27,20 @@ def bin_of(v: Column, bits: int = BITS) -> Column:
     return F.when(v < 0, -edge).otherwise(edge)
 
 
+def _named(once: list[str] | None) -> list[Column]:
+    """128 bits that stand for the naming columns; the hash skips nulls, so they are told apart by a mask."""
+    if not once:
+        return []
+    mask = F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in once])
+    return [F.xxhash64(mask, *once).alias("__a"), F.xxhash64(F.lit(1), mask, *once).alias("__b")]
+
+
 def summarize(df: DataFrame, groups: list[str], value: str, once: list[str] | None = None, bits: int = BITS) -> DataFrame:
     """``(groups..., bin, n)`` of the whole-number column ``value``; null values are left out, null groups are groups.
 
     Rows equal in ``once``, the groups and the value are repeats and count once.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("long").alias("__v"), *([F.xxhash64(*once).alias("__a"), F.xxhash64(F.lit(1), *once).alias("__b")] if once else []))
+    rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("long").alias("__v"), *_named(once))
     if once:
         # the shuffle holds two hashes, 128 bits, in place of the naming columns
         rows = rows.distinct()

@@ -36,6 +36,11 @@ def test_repeats_count_once(spark):
     assert {(r.bin, r.n) for r in P.summarize(df, ["g"], "v", once=["k"]).collect()} == {(5, 2), (9, 1)}
 
 
+def test_nulls_in_the_naming_columns(spark):
+    df = spark.createDataFrame([("g", "a", None, 5), ("g", None, "a", 5)], "g string, x string, y string, v int")
+    assert P.summarize(df, ["g"], "v", once=["x", "y"]).first().n == 2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v int")
     assert P.percentiles(P.summarize(df, ["g"], "v"), ["g"], PS).count() == 0

@@ -59,6 +59,7 @@ x = 0x_ff + 1_0.5e-3j if not a is not b not in c else ~-d ** -e @ f
 del a, (b.c, [d[0]]), e
 global g; nonlocal h
 x <<= yield
+for a, in [b for c, in d]: pass
 from . import (a as b, c,)
 from ...d.e import *
 assert x, y
@@ -74,7 +75,7 @@ def test_every_construct_parses():
     assert syntax.first_error(PYTHON, "python") is None
 
 
-BAD_PYTHON = ["f(", "x = = 1", "def f(a=1, b): pass", "f(a=1, b)", "f(**a, *b)", "f(x for x in y, 1)", "1 = x", "f() += 1", "[a, b]: int", "(a, b) += 1", "for f() in x: pass", "del f()", "with a as f(): pass", "x = (*a)", "{**a for a in b}", "if x:\npass", "  x", "if x:\n    a\n  b", "x = 'a", 'x = """a', "f'{'", "f'{a'", "f'}'", "b'é'", "'\\x1'", "012", "1_", "0x", "1a", "a ? b", "print x", "return = 1", "x\\", "a; ;b", "import a.b as c.d", "from a import", "lambda x=1, y: 0", "def f(*): pass", "def f(a, *, **k): pass", "try: pass", "async x", "else: pass", "match x:\n    pass\n    case 1: pass", "(a as b)", "x: int: y", "a := 1", "\0", "x = \ufeff1"]
+BAD_PYTHON = ["f(", "x = = 1", "def f(a=1, b): pass", "f(a=1, b)", "f(**a, *b)", "f(x for x in y, 1)", "1 = x", "f() += 1", "[a, b]: int", "(a, b) += 1", "for f() in x: pass", "del f()", "x != 0or y", "f'{a!x}'", "f'{a! r}'", "f'{a!rr}'", "with a as f(): pass", "x = (*a)", "{**a for a in b}", "if x:\npass", "  x", "if x:\n    a\n  b", "x = 'a", 'x = """a', "f'{'", "f'{a'", "f'}'", "b'é'", "'\\x1'", "012", "1_", "0x", "1a", "a ? b", "print x", "return = 1", "x\\", "a; ;b", "import a.b as c.d", "from a import", "lambda x=1, y: 0", "def f(*): pass", "def f(a, *, **k): pass", "try: pass", "async x", "else: pass", "match x:\n    pass\n    case 1: pass", "(a as b)", "x: int: y", "a := 1", "\0", "x = \ufeff1"]
 
 
 @pytest.mark.parametrize("text", BAD_PYTHON)
