@@ -271,7 +271,7 @@ KEYWORDS = frozenset(
 )
 
 _TOKEN = re.compile(
-    r"""(?P<name>[^\W\d]\w*)
+    r"""(?P<name>[A-Za-z_\x80-\U0010ffff][A-Za-z0-9_\x80-\U0010ffff]*)
 |(?P<number>0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+
    |(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?
    |\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]?)
@@ -398,9 +398,9 @@ def _lex(src: str) -> Iterator[tuple[str, int, object]]:
                 pos, toks = yield from _string(src, pos, text.lower(), at, stack)
                 continue
             if not text.isascii():
-                text = unicodedata.normalize("NFKC", text)
                 if not text.isidentifier():
                     raise ParseError(at, "invalid character in a name")
+                text = unicodedata.normalize("NFKC", text)
             has_tokens = True
             yield (text, at, None) if text in KEYWORDS else ("NAME", at, text)
         elif kind == "op":
