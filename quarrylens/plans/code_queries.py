@@ -159,3 +159,47 @@ def stream_closed_statements(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the stateful closure of statements while tokens arrive."""
     t = code_tokens(spark, d).select(F.col("record_id").cast("string").alias("doc_id"), "pos", "token")
     return closing.close_batch(t)
+
+
+@query
+def code_features(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens each node type has in bodies, and how many may carry a mark."""
+    t = texts.explode_features(_python(spark, d), "record_id", "code")
+    return t.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_code_body").alias("n_in_body"), F.count_if("structure_mask").alias("n_safe"))
+
+
+@query
+def code_robustness(spark: SparkSession, d: str) -> DataFrame:
+    """The mean share of simple statements whose text survives each perturbation."""
+    from pyspark.sql.types import DoubleType
+
+    @F.pandas_udf(DoubleType())
+    def kept(before: pd.Series, after: pd.Series) -> pd.Series:
+        def share(x, y):
+            a, b = ([n.text for n in blocks.statement_blocks(t) if n.block_type == "simple"] for t in (x, y))
+            return len(set(a) & set(b)) / len(set(a)) if a else None
+
+        return pd.Series([share(x, y) for x, y in zip(before, after)], dtype="float64")
+
+    t = _python(spark, d).filter("code IS NOT NULL")
+    names = list(texts.PERTURBATIONS)
+    wide = t.select(*[kept("code", texts.perturb(F.col("code"), k)).alias(k) for k in names]).agg(*[F.avg(F.when(~F.isnan(f"`{k}`"), F.col(f"`{k}`"))).alias(k) for k in names])
+    return wide.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{k}', round(`{k}`, 6)" for k in names) + ") AS (perturbation, kept)"))
+
+
+@query
+def code_detect(spark: SparkSession, d: str) -> DataFrame:
+    """From source text to a decision: statements, embeddings of a stand-in model, signatures, valid regions, z-score."""
+    from quarrylens.operators.embed import HashEmbedder, embed
+
+    key, planes_ = "audit-key", marks.planes("audit-key", 4, 64)
+    b = code_blocks(spark, d)
+    p = b.select("record_id", F.col("block_id").alias("parent_id"), F.col("node_type").alias("p"))
+    simple = b.filter("block_type = 'simple'").join(p, ["record_id", "parent_id"], "left").select("record_id", F.coalesce("p", F.lit("module")).alias("parent_node_type"), "source")
+    e = embed(simple, "source", HashEmbedder()).withColumn("pr", marks.projections(F.col("embedding"), planes_))
+    e = e.select("record_id", "parent_node_type", marks.signature_of(F.col("pr")).alias("signature"))
+    parents = ["module", *sorted(set(blocks.COMPOUND.values()))]
+    valid = marks.region_table(spark, key, parents, 4, [8]).select("parent_node_type", "signature", F.lit(1).alias("hit"))
+    g = e.join(F.broadcast(valid), ["parent_node_type", "signature"], "left").groupBy("record_id").agg(F.count(F.lit(1)).alias("m"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
+    z = stats.z_score(F.col("hits"), F.col("m") * 0.5, F.col("m") * 0.25)
+    return g.select("record_id", "m", "hits", r6(z, "z"), (z >= 2).alias("decision"))

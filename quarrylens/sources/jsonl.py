@@ -89,3 +89,24 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
 def write_document(df: DataFrame, path: str) -> None:
     """A small result (one row or few) as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_pair(df: DataFrame, path: str, sidecar: DataFrame, sidecar_path: str) -> None:
+    """Two outputs of one source, the second only once the first is whole."""
+    df.write.mode("overwrite").parquet(path)
+    sidecar.write.mode("overwrite").parquet(sidecar_path)
+
+
+def typed(variant: Column, path: str, kind: str, low: float | None = None, high: float | None = None) -> Column:
+    """The field's value if it has exactly the JSON type (integer, number, boolean or string) and range, else null.
+
+    A boolean is no number, a number with a fraction no integer, and text that looks like a number is text.
+    """
+    v = F.try_variant_get(variant, path, "variant")
+    t = F.schema_of_variant(v)
+    ints, reals = t == "BIGINT", t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")
+    ok = {"integer": ints, "number": ints | reals, "boolean": t == "BOOLEAN", "string": t == "STRING"}[kind]
+    out = F.when(ok, F.try_variant_get(variant, path, {"integer": "bigint", "number": "double"}.get(kind, kind)))
+    if low is not None:
+        out = F.when(out >= low, out)
+    return out if high is None else F.when(out <= high, out)

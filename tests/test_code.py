@@ -164,3 +164,21 @@ def test_long_source():
     code = "\n".join(f"v{i} = [{i}] + v{i - 1}" for i in range(1, 400))
     assert apply_rule("operand_swap", code).count("+") == 399
     assert isinstance(pd.Series(texts.excluded_spans("x" * 100_000)), pd.Series)
+
+
+def test_token_features():
+    got = {t: (kind, parent, body, safe) for _, t, kind, parent, _, body, safe in texts.token_features("import os\ndef f(a):\n    return a + 12\n") if t.strip()}
+    assert got["12"] == ("constant", "bin_op", True, True) and got["return"] == ("return", "function_def", True, True)
+    assert got["import"] == ("import", "module", False, False) and got["def"][2:] == (False, False)
+    assert list(texts.token_features(None)) == [] and list(texts.token_features("def (")) == []
+    assert ("NAME", "x") in texts.leaf_tokens("x = 1") and texts.leaf_tokens("'") == []
+
+
+def test_embedding(spark):
+    import numpy as np
+    from quarrylens.operators.embed import HashEmbedder, embed
+
+    df = spark.createDataFrame([(1, "abc", 0), (2, None, 0), (3, "", 0), (4, "abc", 0)], "k int, t string, embedding int")
+    got = {r.k: r.embedding for r in embed(df, "t", HashEmbedder(8)).collect()}
+    assert got[1] == got[4] and got[2] is None and len(got[3]) == 8 and abs(np.linalg.norm(got[1]) - 1) < 1e-5
+    assert embed(df.limit(0), "t", HashEmbedder(8)).count() == 0

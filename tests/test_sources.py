@@ -55,3 +55,28 @@ def test_logs_latest_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
     jsonl.write_document(df.limit(1), str(tmp_path / "doc"))
     assert len(list((tmp_path / "doc").glob("*.json"))) == 1
+
+
+def test_typed_fields(spark):
+    from pyspark.sql import functions as F
+
+    rows = [('{"a": 5}',), ('{"a": 5.5}',), ('{"a": "5"}',), ('{"a": true}',), ('{"a": null}',), ("{}",), ("x",), (None,)]
+    v = F.try_parse_json("l")
+    df = spark.createDataFrame(rows, "l string").select(*[jsonl.typed(v, "$.a", k).alias(k) for k in ("integer", "number", "string", "boolean")], jsonl.typed(v, "$.a", "number", high=5).alias("low"))
+    assert [tuple(r) for r in df.collect()] == [(5, 5.0, None, None, 5.0), (None, 5.5, None, None, None), (None, None, "5", None, None), (None, None, None, True, None), *[(None,) * 5] * 4]
+
+
+def test_config(tmp_path):
+    from quarrylens.config import resolve
+
+    p = put(tmp_path / "c.json", '{"extract": {"fpr": 0.05, "mode": "x"}}')
+    base = {"fpr": 0.01, "mode": "semantic", "k": 1}
+    assert resolve(base, {"mode": "dual", "k": None}, p, "extract") == {"fpr": 0.05, "mode": "dual", "k": 1}
+    with pytest.raises(ValueError, match="unknown"):
+        resolve(base, {"other": 1})
+
+
+def test_pair(spark, tmp_path):
+    df = spark.range(3)
+    jsonl.write_pair(df, str(tmp_path / "a"), df.limit(1), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 1

@@ -122,3 +122,17 @@ def test_relations(spark):
     m = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     got = one(spark, relate.differing_keys(m({"a": "1", "b": "2"}), m({"b": "3", "c": "4"})).alias("d"), relate.map_delta(m({"a": 1}), m({"a": 4, "b": 2})).alias("x"), relate.left_pad(F.array(F.lit(1)), 3, 0).alias("p"))
     assert got.d == ["a", "b", "c"] and got.x == {"a_delta": 3, "b_delta": 2} and got.p == [0, 0, 1]
+
+
+def test_reasons(spark):
+    rows = [(True, True), (False, True), (True, False), (False, False), (None, True)]
+    got = spark.createDataFrame(rows, "v boolean, m boolean").select(lifecycle.reason_of(F.col("v"), F.col("m"))).collect()
+    assert [r[0] for r in got] == ["unknown", "signature_miss", "margin_miss", "signature_miss", "unknown"]
+
+
+def test_cumulative_over_groups(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 3 END AS g", "id AS v", "1 AS n")
+    rows = cumulative.cumulative(df, ["g"], "v", ["n"]).collect()
+    for g in (None, 1, 2):
+        mine = sorted((r.v, r.before_n, r.total_n) for r in rows if r.g == g)
+        assert [b for _, b, _ in mine] == list(range(len(mine))) and {t for _, _, t in mine} == {len(mine)}
