@@ -124,20 +124,27 @@ def _logs(counts: dict[str, int]) -> tuple[dict[str, float], float]:
     return {c: math.log(n / total) for c, n in counts.items()}, math.log(0.05 / total)
 
 
-def _counter_rows(docs: DataFrame, text: str, of, name: str) -> DataFrame:
-    """Counts over all texts, combined within each task before the shuffle."""
+def _corpus_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``(what, x, n)``: how often each character (what = c) and word (w) occurs in all texts, combined within each task."""
 
     def run(batches):
         c: Counter = Counter()
+        w: Counter = Counter()
+
+        def rows():
+            return pd.DataFrame([("c", x, n) for x, n in c.items()] + [("w", x, n) for x, n in w.items()], columns=["what", "x", "n"])
+
         for pdf in batches:
             for t in pdf[text]:
-                c.update(of(t))
-            if len(c) > 300_000:
-                yield pd.DataFrame(list(c.items()), columns=[name, "n"])
-                c = Counter()
-        yield pd.DataFrame(list(c.items()), columns=[name, "n"])
+                c.update(t)
+                w.update(_WORD.findall(t))
+            if len(w) > 300_000:
+                yield rows()
+                c.clear()
+                w.clear()
+        yield rows()
 
-    return spread(docs.select(text)).mapInPandas(run, f"{name} string, n bigint").groupBy(name).agg(F.sum("n").alias("n"))
+    return spread(docs.select(text)).mapInPandas(run, "what string, x string, n bigint").groupBy("what", "x").agg(F.sum("n").alias("n"))
 
 
 def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price: float = 6.0, token_price: float = 0.3, unclean: float = 8.0) -> DataFrame:
@@ -157,7 +164,8 @@ def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price
     kt = docs.schema[key].dataType.simpleString()
     beyond = docs.filter(F.octet_length(text) > F.char_length(text))
     # at most one row for each of Unicode's 1,114,112 code points
-    chars = {r.c: r.n for r in _counter_rows(docs, text, lambda t: t, "c").collect()}
+    counts = materialize(_corpus_counts(docs, text))
+    chars = {r.x: r.n for r in counts.filter("what = 'c'").select("x", "n").collect()}
     clog, cfloor = _logs(chars)
     sent = docs.sparkSession.sparkContext.broadcast((clog, cfloor))
 
@@ -201,7 +209,7 @@ def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price
     cand = spread(beyond).mapInPandas(lattice, f"`{key}` {kt}, start int, end int, ch int, said string, words array<struct<w:string,lp:double>>, bad boolean")
     cand = materialize(cand)
     doubted = cand.filter("bad").select(F.explode("words").alias("x")).groupBy(F.col("x.w").alias("word")).agg(F.count(F.lit(1)).alias("less"))
-    counted = _counter_rows(docs, text, _WORD.findall, "word").join(doubted, "word", "left").select("word", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).filter("n > 0")
+    counted = counts.filter("what = 'w'").select(F.col("x").alias("word"), "n").join(doubted, "word", "left").select("word", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).filter("n > 0")
     counted = materialize(counted)
     n_words = counted.agg(F.sum("n").alias("n")).first().n or 1
     vlog, vfloor = math.log(n_words), math.log(0.5 / n_words)
