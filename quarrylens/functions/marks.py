@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -110,11 +111,19 @@ def hash_feature(text: Column, buckets: int) -> Column:
 
 def softmax_entropy(logits: Column) -> Column:
     """Entropy in nats of the softmax of an array, shares held above 1e-12; null for null or empty."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    share = F.transform(e, lambda x: F.greatest(x / total, F.lit(1e-12)))
-    return F.when(F.size(logits) > 0, -F.aggregate(share, F.lit(0.0), lambda a, x: a + x * F.ln(x)))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def entropy(e: Column) -> Column:
+        shares = _let(add(e), lambda t: F.transform(e, lambda x: F.greatest(x / t, F.lit(1e-12))))
+        return -add(F.transform(shares, lambda p: p * F.ln(p)))
+
+    shifted = _let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return F.when(F.size(logits) > 0, _let(shifted, entropy))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once: an expression used inside a lambda is computed at each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def descending_order(logits: Column) -> Column:
