@@ -64,6 +64,8 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 # Words: ideographs and syllables one by one, runs of other letters, other symbols beyond ASCII one by one.
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]|[^\W\d_぀-ヿ㐀-䶿一-鿿가-힣]+|[^\x00-\x7f]")
 _LOST_WORD = re.compile(rf"[^\W\d_]*(?:{LOST}+[^\W\d_]*)+")
+# A Latin letter beside a Cyrillic one.
+_MIXED = re.compile(r"[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
 _PRINTED = re.compile(r"[\x20-\x7e\n\t]*\Z")
 
 
@@ -107,14 +109,17 @@ _WIDE = {"gb18030", "big5", "shift_jis", "euc-kr"}
 
 
 def candidates(token: str) -> dict[int, str]:
-    """channel number -> restored token, for each channel that fits at least one run of it."""
+    """channel number -> restored token, for each channel that fits at least one run of it.
+
+    A restoration does not make a word of two alphabets where there was none.
+    """
     out: dict[int, str] = {}
     for n, (_, steps) in enumerate(CHANNELS):
         if steps[-1][1] in _WIDE:
             t = _undo(token, steps)  # bytes of ASCII are part of wide characters
         else:
             t = _RUN.sub(lambda m, s=steps: x if (x := _undo(m.group(), s)) is not None else m.group(), token)
-        if t is not None and t != token:
+        if t is not None and t != token and (_MIXED.search(token) or not _MIXED.search(t)):
             out[n] = t
     return out
 
