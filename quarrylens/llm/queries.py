@@ -135,7 +135,15 @@ q AS (SELECT {groups}, any_value(n) AS n, {picks} FROM r GROUP BY {groups})
 SELECT {groups}, n, {", ".join(names.values())}, greatest({", ".join("h" + x for x in names.values())}, 0) AS error_bound FROM q"""
 
 
+_SHARED = r"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 10)) AS i FROM t WHERE len(ws) >= 12)),
+f AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.side = 'd' AND i.side = 'i')"""
+
 ORACLES = {
+    "p7_found": _SHARED + " SELECT doc_id, item_id FROM f",
+    "p7_items": _SHARED + " SELECT e.item_id, e.suite, count(f.doc_id) AS n_docs FROM eval_items e LEFT JOIN f USING (item_id) GROUP BY ALL",
     "p2_summary": f"WITH {_VALUES} SELECT origin, node_type, profile_id, run_day, bin, count(*) AS n FROM e GROUP BY ALL",
     "p2_percentiles": _quantiles_sql("origin, node_type, profile_id, run_day"),
     "p2_merged": _quantiles_sql("node_type"),
