@@ -58,7 +58,10 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Repartition only where the scan yields fewer partitions than the cores need.
 
     For operators that burn Python CPU a row. A large scan has partitions enough and is left alone, so
-    the extra shuffle never grows with the data.
+    the extra shuffle never grows with the data. What comes out of a shuffle is left alone too: it is spread
+    already, and counting its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
