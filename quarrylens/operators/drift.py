@@ -240,44 +240,160 @@ def catalogue(lines: DataFrame, stream: list[str] | None = None, file: str = "fi
     return spans.select(*stream, "path", F.concat_ws("|", "kinds").alias("kinds"), "first_seq", "last_seq", "n_files")
 
 
-def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str], file: str = "file_name", line: str = "raw_line", max_columns: int = 2000) -> DataFrame:
-    """One table of all records: a column for each leaf path under its last name, cast to one type.
+def _chains(lives: list[tuple[str, int, int]], renames: list[tuple[str, str, int]]) -> list[tuple[str, int, int, list[str]]]:
+    """(path, first, last, chain) of each life of a path within one stream; chain is the names its field had, in order of time.
 
-    ``log`` is the result of ``changes`` of the same lines, ``foot`` of ``footers``. The alias table follows
-    each rename to its last name. A leaf is a path that holds a plain value or an array somewhere; a field
+    lives: (path, first file, last file); renames: (old, new, file that has the new name). A life under a
+    renamed object that has no rename of its own takes the object's chain with its own rest of the path.
+    """
+    begins = {(p, a): (p, a, b) for p, a, b in lives}
+    ends = {(p, b): (p, a, b) for p, a, b in lives}
+    after = {ends[o, s - 1]: begins[n, s] for o, n, s in renames if (o, s - 1) in ends and (n, s) in begins}
+    own: dict[tuple, list[str]] = {}
+    for head in set(after) - set(after.values()):
+        chain = [head]
+        while chain[-1] in after:
+            chain.append(after[chain[-1]])
+        own |= {x: [p for p, _, _ in chain] for x in chain}
+    linked: dict[str, list[tuple]] = {}
+    for x in own:
+        linked.setdefault(x[0], []).append(x)
+    out = []
+    for x in lives:
+        names, parent = own.get(x), x[0]
+        while names is None and "." in parent:
+            parent = parent.rpartition(".")[0]
+            over = [y for y in linked.get(parent, []) if y[1] <= x[1] and x[2] <= y[2]]
+            names = [p + x[0][len(parent) :] for p in own[over[0]]] if over else None
+        out.append((*x, names or [x[0]]))
+    return out
+
+
+def _classes(chains: dict[tuple[str, ...], int], apart: set[frozenset]) -> list[list[tuple[str, ...]]]:
+    """The chains of names (with how often each occurs) put into classes of one field each.
+
+    Chains that share a name are one field, those with the greatest share of common names first, unless two
+    chains of the classes stand side by side in some file (``apart``): these are different fields.
+    """
+    group = {c: [c] for c in chains}
+    foes: dict[tuple, set] = {c: set() for c in chains}
+    for pair in apart:
+        x, y = tuple(pair)
+        foes[x].add(y)
+        foes[y].add(x)
+    head = {c: c for c in chains}
+    at: dict[str, list] = {}
+    for c in sorted(chains):
+        for n in set(c):
+            at.setdefault(n, []).append(c)
+    links = {(x, y) for cs in at.values() for i, x in enumerate(cs) for y in cs[i + 1 :]}
+
+    def join(x: tuple, y: tuple) -> None:
+        x, y = head[x], head[y]
+        if x == y or any(c in foes[x] for c in group[y]):
+            return
+        for c in group[y]:
+            head[c] = x
+        group[x] += group.pop(y)
+        foes[x] |= foes.pop(y)
+
+    for x, y in sorted(links, key=lambda l: (-len(set(l[0]) & set(l[1])) / len(set(l[0]) | set(l[1])), l)):
+        join(x, y)
+    # Equal fields of objects that are one field, parents first.
+    first: dict[tuple, tuple] = {}
+    for c in sorted(chains, key=lambda c: (min(n.count(".") for n in c), c)):
+        leaf = {n.rpartition(".")[2] for n in c}
+        above = {n.rpartition(".")[0] for n in c}
+        over = [p for p in at.get(min(above), []) if above <= set(p)] if len(leaf) == 1 else []
+        if over:
+            join(first.setdefault((head[min(over, key=lambda p: (len(p), p))], *leaf), c), c)
+    return sorted(sorted(g) for g in group.values())
+
+
+def _bounded(df: DataFrame, most: int, what: str) -> list:
+    got = df.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} {what}; raise max_columns")
+    return got
+
+
+def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str], stream: list[str] | None = None, file: str = "file_name", stamp: str = "file_stamp", line: str = "raw_line", max_columns: int = 2000) -> DataFrame:
+    """One table of all records: a column for each field under one name, cast to one type.
+
+    ``log`` is the result of ``changes`` of the same lines, ``foot`` of ``footers``. All names that renames
+    link, over all streams, are one field with one column: a rename links the life of the old name that ends
+    with the life of the new name that begins, so that a name taken up again for another field is told apart,
+    and A -> B -> A is one field. Names that stand side by side in a file stay apart. The column has the name
+    that most streams end with, then the first by name. A leaf is a path that holds a plain value or an array somewhere; a field
     that was an object in some files and plain in others keeps its plain values in its own column. A column
     is boolean, double or string if all its types agree, else string holding the JSON text; values of an array
     are JSON text. Columns come from the catalogue, whose width is checked against ``max_columns``. Lines
-    that are no JSON object are left out; repeated lines are kept.
+    that are no JSON object are left out; repeated lines are kept. ``clashes`` holds, as a JSON object, the values
+    of a record that found their column taken by another value of the record; null where there are none.
     """
-    renames = log.filter("change = 'renamed'").select("old_path", "field_path").distinct().limit(max_columns * 10).collect()
-    alias: dict[str, str] = {}
-    for r in renames:
-        alias.setdefault(r.old_path, r.field_path)
-
-    def last(p: str) -> str:
-        seen = {p}
-        while p in alias and alias[p] not in seen:
-            p = alias[p]
-            seen.add(p)
-        return p
-
-    kinds = foot.filter("path <> ''").select("path", F.explode("kinds").alias("kind")).distinct().limit(max_columns * 5 + 1).collect()
+    stream = stream or ["artifact", "stream"]
+    on = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    foot = materialize(foot)
+    files, spans = lifespans(foot, stream, file, stamp)
+    files = materialize(files.select(*stream, file, "seq"))
+    renames = log.filter("change = 'renamed' AND NOT contains(field_path, '[]') AND NOT contains(old_path, '[]')")
+    renames = materialize(renames.alias("l").join(files.alias("f"), on("l", "f", [*stream, file])).select(*[f"f.{c}" for c in stream], "l.old_path", "l.field_path", "f.seq"))
+    named = {p for r in _bounded(renames.select("old_path", "field_path").distinct(), max_columns * 10, "renames") for p in r}
+    # Lives of all paths that have or had another name somewhere, and of what lies below them.
+    below = (F.col("path") == F.col("n")) | F.expr("startswith(path, n || '.')")
+    touched = spans.filter("NOT contains(path, '[]')").select("path").distinct().join(F.broadcast(foot.sparkSession.createDataFrame([(n,) for n in sorted(named)], "n string")), below).select("path").distinct()
+    w = W.partitionBy(*stream, "path").orderBy("first_seq")
+    lives = spans.join(touched, "path").withColumn("fresh", F.col("before").isNull().cast("int")).withColumn("life", F.sum("fresh").over(w))
+    lives = lives.groupBy(*stream, "path", "life").agg(F.min("first_seq").alias("a"), F.max("last_seq").alias("b"))
+    rows = lives.select(*stream, "path", F.lit(None).cast("string").alias("old"), "a", "b").unionByName(renames.select(*stream, F.col("field_path").alias("path"), F.col("old_path").alias("old"), F.col("seq").alias("a"), F.lit(0).alias("b")))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = [(p, int(a), int(b)) for p, o, a, b in zip(pdf.path, pdf.old, pdf.a, pdf.b) if not isinstance(o, str)]
+        moves = [(o, p, int(a)) for p, o, a in zip(pdf.path, pdf.old, pdf.a) if isinstance(o, str)]
+        key = [pdf[c].iloc[0] for c in stream]
+        return pd.DataFrame([(*key, *x) for x in _chains(at, moves)], columns=[*stream, "path", "a", "b", "chain"])
+
+    types = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in stream)
+    # One group is the lives of the renamed paths of one stream.
+    chains = materialize(rows.groupBy(*stream).applyInPandas(chain, f"{types}, path string, a int, b int, chain array<string>"))
+    times = {tuple(r.chain): r.n for r in _bounded(chains.groupBy("chain").agg(F.count_distinct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in stream]).alias("n")), max_columns * 10, "chains of renames")}
+    beside = chains.alias("x").join(chains.alias("y"), [*on("x", "y", stream), F.col("x.chain") < F.col("y.chain"), F.col("x.a") <= F.col("y.b"), F.col("y.a") <= F.col("x.b")])
+    apart = {frozenset((tuple(r.u), tuple(r.v))) for r in _bounded(beside.select(F.col("x.chain").alias("u"), F.col("y.chain").alias("v")).distinct(), max_columns * 1000, "pairs of names")}
+
+    field: dict[tuple[str, ...], str] = {}
+    used: set[str] = set()
+    for group in sorted(_classes(times, apart), key=lambda g: (-max(map(len, g)), g)):
+        ends: dict[str, int] = {}
+        for c in group:
+            if len(c) > 1 or len(group) == 1:
+                ends[c[-1]] = ends.get(c[-1], 0) + times[c]
+        name = min(ends or {c[-1]: 0 for c in group}, key=lambda n: (-ends.get(n, 0), n))
+        while name in used:
+            name += "_"
+        used.add(name)
+        field |= {c: name for c in group}
+    to = foot.sparkSession.createDataFrame([(list(c), n) for c, n in sorted(field.items())], "chain array<string>, field string")
+    named_as = chains.join(F.broadcast(to), "chain").select(*stream, "path", "a", "b", "field")
+    here = materialize(named_as.alias("c").join(files.alias("f"), [*on("c", "f", stream), F.col("f.seq").between(F.col("c.a"), F.col("c.b"))]).select(*[f"f.{c}" for c in [*stream, file]], "c.path", "c.field"))
+
+    at = foot.filter("path <> ''").alias("t").join(here.alias("h"), on("t", "h", [*stream, file, "path"]), "left").select(F.coalesce("h.field", "t.path").alias("path"), F.explode("t.kinds").alias("kind"))
+    kinds = at.distinct().limit(max_columns * 5 + 1).collect()
     cols: dict[str, set] = {}
     for r in kinds:
         if "[]" not in r.path and r.kind != "object":
-            cols.setdefault(last(r.path), set()).add(r.kind)
+            cols.setdefault(r.path, set()).add(r.kind)
     if len(cols) > max_columns:
         raise ValueError(f"{len(cols)} columns; raise max_columns")
     order = sorted(cols)
-    names, taken = {}, set(keep)
+    names, taken = {}, {*keep, "clashes"}
     for p in order:
         n = p.replace(".", "__")
         while n.lower() in {t.lower() for t in taken}:
             n += "_"
         taken.add(n)
         names[p] = n
-    final = {p: last(p) for p in set(alias) | set(order)}
+    alias = here.filter("path <> field").groupBy(*stream, file).agg(F.collect_list(F.struct("path", "field")).alias("alias"))
+    lines = lines.alias("l").join(alias.alias("a"), on("l", "a", [*stream, file]), "left").select("l.*", "a.alias")
 
     def read(batches):
         for pdf in batches:
@@ -286,17 +402,21 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
                 o = parse_object(row[-1])
                 if o is None:
                     continue
+                final = {x["path"]: x["field"] for x in row[-2]} if row[-2] is not None else {}
                 got: dict[str, str] = {}
-                for path, v in walk(o):
+                lost: dict[str, object] = {}
+                for path, v in sorted(walk(o), key=lambda x: (final.get(x[0], x[0]) != x[0], x[0])):
                     if v is None or isinstance(v, dict) or "[]" in path:
                         continue
                     c = final.get(path, path)
                     if c in names:
-                        got[c] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-                rows.append((*row[:-1], *(got.get(c) for c in order)))
-            yield pd.DataFrame(rows, columns=[*keep, *(names[c] for c in order)])
-
-    schema = ", ".join([f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep] + [f"`{names[c]}` string" for c in order])
-    raw = lines.select(*keep, line).mapInPandas(read, schema)
+                        x = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+                        if got.setdefault(c, x) != x:
+                            lost[path] = v
+                rows.append((*row[:-2], *(got.get(c) for c in order), json.dumps(lost, ensure_ascii=False) if lost else None))
+            yield pd.DataFrame(rows, columns=[*keep, *(names[c] for c in order), "clashes"])
+
+    schema = ", ".join([f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep] + [f"`{names[c]}` string" for c in order] + ["clashes string"])
+    raw = lines.select(*keep, "alias", line).mapInPandas(read, schema)
     cast = {frozenset(["number"]): "double", frozenset(["boolean"]): "boolean"}
-    return raw.select(*keep, *[(F.expr(f"try_cast(`{names[c]}` AS {cast[frozenset(cols[c])]})").alias(names[c]) if frozenset(cols[c]) in cast else F.col(f"`{names[c]}`")) for c in order])
+    return raw.select(*keep, *[(F.expr(f"try_cast(`{names[c]}` AS {cast[frozenset(cols[c])]})").alias(names[c]) if frozenset(cols[c]) in cast else F.col(f"`{names[c]}`")) for c in order], "clashes")

@@ -60,3 +60,54 @@ def test_consistent_table(spark):
     got = consistent(t, changes(t), foot, ["file_name", "line_no"])
     assert dict(got.dtypes)["m"] == "double" and dict(got.dtypes)["w"] == "string" and "n" not in got.columns
     assert sorted((r.file_name, r.id, r.m, r.w) for r in got.collect() if r.w) == [("f0", "1", 1.0, "1"), ("f1", "1", 1.0, "x")]
+
+
+def one_table(spark, *tables):
+    t = tables[0]
+    for more in tables[1:]:
+        t = t.unionByName(more)
+    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line")
+    return consistent(t, changes(t), foot, ["stream", "file_name"])
+
+
+def test_names_linked_by_renames_are_one_column(spark):
+    # a cycle in one stream, a branch of it in another, and a third stream in which nothing is renamed
+    cycle = lines(spark, [{"id": "1", "hits": 7}], [{"id": "1", "counts": {"hits": 7}}], [{"id": "1", "hits": 7}, {"id": "2", "hits": 8}])
+    branch = lines(spark, [{"id": "1", "hits": 5}], [{"id": "1", "score": {"hits": 5}}], stream="t")
+    plain = lines(spark, [{"id": "1", "hits": 9}], stream="u")
+    got = one_table(spark, cycle, branch, plain)
+    names = [c for c in got.columns if "hits" in c]
+    assert len(names) == 1
+    assert sorted(r[names[0]] for r in got.collect()) == [5, 5, 7, 7, 7, 8, 9] and got.filter("clashes IS NOT NULL").count() == 0
+
+
+def test_name_taken_up_again_is_another_field(spark):
+    # n becomes m; later another n stands beside m. In stream t both stand side by side from the start.
+    again = lines(spark, [{"id": "1", "n": 1}], [{"id": "1", "m": 1}], [{"id": "1", "m": 1, "n": "x"}])
+    got = one_table(spark, again, lines(spark, [{"id": "1", "m": 3, "n": "y"}], stream="t"))
+    assert sorted((r.stream, r.file_name, r.m, r.n) for r in got.collect()) == [("s", "f0", 1.0, None), ("s", "f1", 1.0, None), ("s", "f2", 1.0, "x"), ("t", "f0", 3.0, "y")]
+
+
+def test_fields_below_a_renamed_object_follow_it(spark):
+    one = lines(spark, [{"id": "1", "o": 1}], [{"id": "1", "p": 1}], [{"id": "1", "p": {"x": 2}}])
+    two = lines(spark, [{"id": "1", "o": {"x": 2}}], [{"id": "1", "p": {"x": 2}}], stream="t")
+    got = one_table(spark, one, two)
+    assert "o__x" not in got.columns and sorted(r.p__x for r in got.collect() if r.p__x is not None) == [2, 2, 2]
+
+
+def test_values_without_a_place_are_reported(spark):
+    files = [[{"id": "1", "n": 1}], [{"id": "1", "m": 1}], [{"id": "1", "n": 2, "m": 3}], [{"id": "1", "m": 2, "k": 3}]]
+    got = one_table(spark, lines(spark, *files))
+    values = sorted(v for r in got.collect() for c, v in r.asDict().items() if c not in ("stream", "file_name", "id", "clashes") and v is not None)
+    assert values == [1, 1, 2, 2, 3, 3] or got.filter("clashes IS NOT NULL").count() > 0
+
+
+def test_classes_of_names():
+    from quarrylens.operators.drift import _classes
+
+    cycle, far, below = ("a", "b", "a"), ("a", "c"), ("b.x", "c.x")
+    assert _classes({cycle: 1, far: 1, ("c",): 1, below: 1, ("a.x",): 1, ("d",): 1}, set()) == [[("a", "b", "a"), ("a", "c"), ("c",)], [("a.x",)], [("b.x", "c.x")], [("d",)]]
+    assert [("b.x",), ("c.x",)] in _classes({("b", "c"): 1, ("b",): 1, ("c",): 1, ("b.x",): 1, ("c.x",): 1}, set())
+    # n and k both end as m, but stand side by side elsewhere: m is two fields
+    got = _classes({("n", "m"): 1, ("k", "m"): 1, ("n",): 1, ("k",): 1}, {frozenset([("n",), ("k",)])})
+    assert got == [[("k",), ("k", "m")], [("n",), ("n", "m")]]
