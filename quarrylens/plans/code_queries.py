@@ -103,12 +103,17 @@ def code_rewrite_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def code_variants(spark: SparkSession, d: str) -> DataFrame:
-    return texts.explode_variants(_python(spark, d), "record_id", "code", longest=2, most=20)
+    """All variants of both kinds under the engine's own limits, 5 rules and 1000 variants a source and kind."""
+    return _variants(spark, d, "positive").unionByName(_variants(spark, d, "negative"))
+
+
+def _variants(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    return texts.explode_variants(_python(spark, d), "record_id", "code", mode)
 
 
 @query
 def code_triplets(spark: SparkSession, d: str) -> DataFrame:
-    v = code_variants(spark, d).select("record_id", F.col("transformed_source").alias("positive"))
+    v = _variants(spark, d, "positive").select("record_id", F.col("transformed_source").alias("positive"))
     return texts.triplets(_python(spark, d).join(v, "record_id").select("record_id", "code", "positive"), "record_id", "code")
 
 

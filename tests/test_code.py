@@ -1,11 +1,14 @@
 import ast
+import itertools
 import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.code import blocks, texts
 from quarrylens.code.rules import NEGATIVE, POSITIVE, RULES, apply_rule, variants
+from quarrylens.plans import code_queries
 from quarrylens.streaming import closing
 
 
@@ -182,3 +185,25 @@ def test_embedding(spark):
     got = {r.k: r.embedding for r in embed(df, "t", HashEmbedder(8)).collect()}
     assert got[1] == got[4] and got[2] is None and len(got[3]) == 8 and abs(np.linalg.norm(got[1]) - 1) < 1e-5
     assert embed(df.limit(0), "t", HashEmbedder(8)).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["positive", "negative"])
+def test_variants_are_all_ordered_choices(mode):
+    code = "def get_x(a, b):\n    x = []\n    for i in range(3):\n        if a < b and i == 1:\n            x.append(a + b)\n    print(x)\n    return x\n"
+    names = [n for n in (POSITIVE if mode == "positive" else NEGATIVE) if apply_rule(n, code) is not None]
+    want = []
+    for length in (1, 2, 3):
+        for chosen in itertools.permutations(names, length):
+            now = code
+            for n in chosen:
+                now = now and apply_rule(n, now)
+            if now is not None:
+                want.append((list(chosen), now))
+    got = list(variants(code, mode, longest=3, most=10**6))
+    assert len(names) > 3 and [(r, t) for _, r, t in got] == want and [n for n, _, _ in got] == list(range(len(want)))
+    assert [(r, t) for _, r, t in variants(code, mode, 3, 50)] == want[:50]
+
+
+def test_variants_are_registered_with_the_full_limits(spark, sf):
+    got = code_queries.QUERIES["code_variants"](spark, sf).groupBy("sample_type").agg(F.max(F.size("rules_applied")).alias("n"), F.max("variant_id").alias("most")).collect()
+    assert {r.sample_type: r.n > 2 and 20 <= r.most < 1000 for r in got} == {"positive": True, "negative": True}
