@@ -207,3 +207,13 @@ def test_variants_are_all_ordered_choices(mode):
 def test_variants_are_registered_with_the_full_limits(spark, sf):
     got = code_queries.QUERIES["code_variants"](spark, sf).groupBy("sample_type").agg(F.max(F.size("rules_applied")).alias("n"), F.max("variant_id").alias("most")).collect()
     assert {r.sample_type: r.n > 2 and 20 <= r.most < 1000 for r in got} == {"positive": True, "negative": True}
+
+
+def test_triplets_of_few_and_of_equal_texts(spark):
+    # 40 groups, of which a third have one text: each has a triplet, never with its own text
+    rows = [(str(i), "same" if i % 3 == 0 else f"t{i}", f"p{i}") for i in range(40)]
+    make = lambda r: spark.createDataFrame(r, "g string, x string, positive string")
+    got = texts.triplets(make(rows), "g", "x").collect()
+    assert sorted(r.positive for r in got) == sorted(p for _, _, p in rows) and all(r.anchor != r.negative for r in got)
+    assert sorted(r.negative for r in texts.triplets(make(rows[:2]), "g", "x").collect()) == ["same", "t1"]
+    assert texts.triplets(make(rows[:1]), "g", "x").count() == 0 and texts.triplets(make([]), "g", "x").count() == 0
