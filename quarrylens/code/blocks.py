@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.code.tree import Source, source
+from quarrylens.code.tree import Source, recovered, source
 from quarrylens.session import spread
 
 # The statement types and their names.
@@ -41,16 +41,18 @@ class Block:
     last_child: int  # descendants are block_id + 1 .. last_child
 
 
-def statement_blocks(text: str | None) -> list[Block]:
+def statement_blocks(text: str | None, recover: bool = False) -> list[Block]:
     """All statements in preorder; clauses (elif, else, except, case) and decorators are no level of their own.
 
     A text that goes on an indented body, as a completion does, is read as one. A null text or one that
-    does not parse has none.
+    does not parse has none, or with ``recover`` those of its longest line prefix that parses.
     """
     s = source(text) if text is not None else None
     out: list[Block] = []
     shift = 0
-    if s is None and text is not None and text[:1] in " \t\n":
+    if recover:
+        s, shift, _ = recovered(text)
+    elif s is None and text is not None and text[:1] in " \t\n":
         s, shift = source("if 1:\n" + text), 1
     if s is None:
         return out
@@ -388,37 +390,53 @@ def entropy_units(text: str) -> int:
 
 
 def explode_blocks(df: DataFrame, key: str, code: str) -> DataFrame:
-    """``(key, block_id, block_type, node_type, source, start_line, end_line, depth, parent_id, last_child)``: every statement of each source."""
+    """``(key, block_id, block_type, node_type, source, start_line, end_line, depth, parent_id, last_child, parse_status)``: every statement of each source, or of its longest line prefix that parses."""
     kt = df.schema[key].dataType.simpleString()
-    cols = [key, "block_id", "block_type", "node_type", "source", "start_line", "end_line", "depth", "parent_id", "last_child"]
+    cols = [key, "block_id", "block_type", "node_type", "source", "start_line", "end_line", "depth", "parent_id", "last_child", "parse_status"]
 
     def run(batches):
         for pdf in batches:
-            rows = [(k, b.block_id, b.block_type, b.node_type, b.text, b.start_line, b.end_line, b.depth, b.parent_id, b.last_child) for k, t in zip(pdf[key], pdf[code]) for b in statement_blocks(t)]
+            rows = [(k, b.block_id, b.block_type, b.node_type, b.text, b.start_line, b.end_line, b.depth, b.parent_id, b.last_child, recovered(t)[2]) for k, t in zip(pdf[key], pdf[code]) for b in statement_blocks(t, True)]
             yield pd.DataFrame(rows, columns=cols).astype({"parent_id": "Int32"})
 
-    return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, block_id int, block_type string, node_type string, source string, start_line int, end_line int, depth int, parent_id int, last_child int")
+    return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, block_id int, block_type string, node_type string, source string, start_line int, end_line int, depth int, parent_id int, last_child int, parse_status string")
+
+
+def parse_status(df: DataFrame, key: str, code: str) -> DataFrame:
+    """``(key, parse_status, n_lines, n_parsed)``: one row a source, with how many of its lines the blocks come from."""
+    kt = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf[key], pdf[code]):
+                s, shift, status = recovered(t)
+                count = lambda x: len(re.findall(r"\r\n|\r|\n", x)) + (x[-1:] not in ("", "\r", "\n"))
+                rows.append((k, status, count(t or ""), count(s.text) - shift if s is not None else 0))
+            yield pd.DataFrame(rows, columns=[key, "parse_status", "n_lines", "n_parsed"])
+
+    return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, parse_status string, n_lines int, n_parsed int")
 
 
 def contracts(df: DataFrame, key: str, code: str) -> DataFrame:
-    """``(key, ordinal, block_id, node_type, parent_node_type, block_text_hash, start_line, end_line, entropy_units)`` of simple statements.
+    """``(key, ordinal, block_id, node_type, parent_node_type, block_text_hash, start_line, end_line, entropy_units, parse_status)`` of simple statements.
 
     All blocks of a source are in one call, so parents are looked up there and nothing is shuffled.
     """
     kt = df.schema[key].dataType.simpleString()
-    cols = [key, "ordinal", "block_id", "node_type", "parent_node_type", "block_text_hash", "start_line", "end_line", "entropy_units"]
+    cols = [key, "ordinal", "block_id", "node_type", "parent_node_type", "block_text_hash", "start_line", "end_line", "entropy_units", "parse_status"]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k, t in zip(pdf[key], pdf[code]):
-                blocks = statement_blocks(t)
+                blocks = statement_blocks(t, True)
                 for n, b in enumerate(x for x in blocks if x.block_type == "simple"):
                     parent = "module" if b.parent_id is None else blocks[b.parent_id].node_type
-                    rows.append((k, n, str(b.block_id), b.node_type, parent, hashlib.sha256(b.text.encode()).hexdigest(), b.start_line, b.end_line, entropy_units(b.text)))
+                    rows.append((k, n, str(b.block_id), b.node_type, parent, hashlib.sha256(b.text.encode()).hexdigest(), b.start_line, b.end_line, entropy_units(b.text), recovered(t)[2]))
             yield pd.DataFrame(rows, columns=cols)
 
-    return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, ordinal int, block_id string, node_type string, parent_node_type string, block_text_hash string, start_line int, end_line int, entropy_units int")
+    return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, ordinal int, block_id string, node_type string, parent_node_type string, block_text_hash string, start_line int, end_line int, entropy_units int, parse_status string")
 
 
 def select_tree(blocks: list[tuple[int, int | None, float]]) -> tuple[float, list[int]]:

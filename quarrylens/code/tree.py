@@ -67,3 +67,37 @@ def source(text: str) -> Source | None:
         return Source(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
+
+
+@lru_cache(maxsize=512)
+def recovered(text: str | None) -> tuple[Source | None, int, str]:
+    """(source, lines put before it, parse status) of the longest line prefix that parses.
+
+    Status is complete, prefix, none where not a statement parses, or null. A text that goes on an indented
+    body, as a completion does, is read as one, under a line of its own; of two prefixes the longer one counts.
+    """
+    if text is None:
+        return None, 0, "null"
+    shifts = (0, 1) if text[:1] in (" ", "\t", "\n") else (0,)
+    for shift in shifts:
+        if (s := source("if 1:\n" * shift + text)) is not None:
+            return s, shift, "complete"
+    best: tuple[int, Source | None, int] = (0, None, 0)
+    for shift in shifts:
+        whole = "if 1:\n" * shift + text
+        ends = [m.end() for m in _LINE_END.finditer(whole)]
+        n = len(ends) + (not ends or ends[-1] < len(whole))
+        while n - shift > best[0]:
+            part = whole[: ends[n - 1]] if n <= len(ends) else whole
+            try:
+                s = Source(part)
+            except SyntaxError as e:
+                # the fault stays in each prefix that holds its line
+                n = min(n - 1, e.lineno or n)
+            except (ValueError, RecursionError, MemoryError):
+                n -= 1
+            else:
+                if s.tree.body:
+                    best = (n - shift, s, shift)
+                break
+    return best[1], best[2], "prefix" if best[1] is not None else "none"

@@ -45,13 +45,19 @@ def code_parents(spark: SparkSession, d: str) -> DataFrame:
     """Each block with its parent's type, 'module' at the root, by a join."""
     b = code_blocks(spark, d)
     p = b.select("record_id", F.col("block_id").alias("parent_id"), F.col("node_type").alias("p"))
-    return b.join(p, ["record_id", "parent_id"], "left").select("record_id", "block_id", "node_type", F.when(F.col("parent_id").isNull(), "module").otherwise(F.col("p")).alias("parent_node_type"))
+    return b.join(p, ["record_id", "parent_id"], "left").select("record_id", "block_id", "node_type", F.when(F.col("parent_id").isNull(), "module").otherwise(F.col("p")).alias("parent_node_type"), "parse_status")
+
+
+@query
+def code_parse_status(spark: SparkSession, d: str) -> DataFrame:
+    """Which sources the code queries read whole, which up to a line, and which not at all."""
+    return blocks.parse_status(_python(spark, d), "record_id", "code")
 
 
 @query
 def code_split_stats(spark: SparkSession, d: str) -> DataFrame:
     b = code_blocks(spark, d)
-    return b.groupBy("record_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("block_type") == "simple").alias("simple"), F.count_if(F.col("block_type") == "compound").alias("compound"), F.max("depth").alias("max_depth"))
+    return b.groupBy("record_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("block_type") == "simple").alias("simple"), F.count_if(F.col("block_type") == "compound").alias("compound"), F.max("depth").alias("max_depth"), F.first("parse_status").alias("parse_status"))
 
 
 @query
@@ -200,11 +206,11 @@ def code_detect(spark: SparkSession, d: str) -> DataFrame:
     key, planes_ = "audit-key", marks.planes("audit-key", 4, 64)
     b = code_blocks(spark, d)
     p = b.select("record_id", F.col("block_id").alias("parent_id"), F.col("node_type").alias("p"))
-    simple = b.filter("block_type = 'simple'").join(p, ["record_id", "parent_id"], "left").select("record_id", F.coalesce("p", F.lit("module")).alias("parent_node_type"), "source")
+    simple = b.filter("block_type = 'simple'").join(p, ["record_id", "parent_id"], "left").select("record_id", F.coalesce("p", F.lit("module")).alias("parent_node_type"), "source", "parse_status")
     e = embed(simple, "source", HashEmbedder()).withColumn("pr", marks.projections(F.col("embedding"), planes_))
-    e = e.select("record_id", "parent_node_type", marks.signature_of(F.col("pr")).alias("signature"))
+    e = e.select("record_id", "parent_node_type", "parse_status", marks.signature_of(F.col("pr")).alias("signature"))
     parents = ["module", *sorted(set(blocks.COMPOUND.values()))]
     valid = marks.region_table(spark, key, parents, 4, [8]).select("parent_node_type", "signature", F.lit(1).alias("hit"))
-    g = e.join(F.broadcast(valid), ["parent_node_type", "signature"], "left").groupBy("record_id").agg(F.count(F.lit(1)).alias("m"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
+    g = e.join(F.broadcast(valid), ["parent_node_type", "signature"], "left").groupBy("record_id", "parse_status").agg(F.count(F.lit(1)).alias("m"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
     z = stats.z_score(F.col("hits"), F.col("m") * 0.5, F.col("m") * 0.25)
-    return g.select("record_id", "m", "hits", r6(z, "z"), (z >= 2).alias("decision"))
+    return g.select("record_id", "m", "hits", r6(z, "z"), (z >= 2).alias("decision"), "parse_status")

@@ -217,3 +217,14 @@ def test_triplets_of_few_and_of_equal_texts(spark):
     assert sorted(r.positive for r in got) == sorted(p for _, _, p in rows) and all(r.anchor != r.negative for r in got)
     assert sorted(r.negative for r in texts.triplets(make(rows[:2]), "g", "x").collect()) == ["same", "t1"]
     assert texts.triplets(make(rows[:1]), "g", "x").count() == 0 and texts.triplets(make([]), "g", "x").count() == 0
+
+
+def test_sources_that_do_not_parse_keep_their_prefix(spark):
+    cut = "import os\ndef f(a):\n    b = a\n    return (b +\n"
+    text = {"whole": "x = 1\n", "cut": cut, "body": "    y = 2\n    return (", "fault": "a = 1\nb = = 2\nc = 3\n", "open": "x = 1\ntry:\n    y = 2\n", "none": "def (", "null": None}
+    df = spark.createDataFrame(list(text.items()), "k string, code string")
+    got = {r.k: (r.parse_status, r.n_lines, r.n_parsed) for r in blocks.parse_status(df, "k", "code").collect()}
+    assert got == {"whole": ("complete", 1, 1), "cut": ("prefix", 4, 3), "body": ("prefix", 2, 1), "fault": ("prefix", 3, 1), "open": ("prefix", 3, 1), "none": ("none", 1, 0), "null": ("null", 0, 0)}
+    rows = sorted((r.k, r.block_id, r.source, r.parse_status) for r in blocks.explode_blocks(df, "k", "code").collect())
+    assert [r[1:] for r in rows if r[0] == "cut"] == [(0, "import os", "prefix"), (1, "def f(a):\n    b = a", "prefix"), (2, "b = a", "prefix")]
+    assert {r[0] for r in rows} == {"whole", "cut", "body", "fault", "open"} == {r.k for r in blocks.contracts(df, "k", "code").collect()} == {r.k for r in texts.explode_features(df, "k", "code").collect()}
