@@ -1,6 +1,8 @@
 import json
 from datetime import datetime
 
+import pytest
+
 from quarrylens.operators.drift import catalogue, changes, consistent, footers, parse_object
 
 SCHEMA = "artifact string, stream string, file_name string, file_stamp timestamp, line_no int, raw_line string, other int"
@@ -111,3 +113,13 @@ def test_classes_of_names():
     # n and k both end as m, but stand side by side elsewhere: m is two fields
     got = _classes({("n", "m"): 1, ("k", "m"): 1, ("n",): 1, ("k",): 1}, {frozenset([("n",), ("k",)])})
     assert got == [[("k",), ("k", "m")], [("n",), ("n", "m")]]
+
+
+def test_array_fields_do_not_crowd_out_columns(spark):
+    wide = {"id": "1", "v": 1, "a": [{f"f{i}": i for i in range(60)}], "o": {"x": {"y": {"z": 2}}}}
+    t = lines(spark, [wide])
+    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line")
+    got = consistent(t, changes(t), foot, ["file_name"], max_columns=4)
+    assert set(got.columns) == {"file_name", "id", "v", "a", "o__x__y__z", "clashes"}
+    with pytest.raises(ValueError):
+        consistent(t, changes(t), foot, ["file_name"], max_columns=3)
