@@ -1,128 +1,28 @@
 """Text read in the wrong encoding: noisy-channel decoding under corpus word frequencies.
 
-Every token of a text that is not ASCII opens a lattice: the token as it stands, and what its bytes give if
-it was written in one encoding and read in another, for each channel of a table. Lost bytes (U+FFFD) are
-wildcards that are filled from the corpus words that fit. Viterbi search picks each text's path: words score
-by their corpus frequency, a change into a damaged state has a price and staying in it has none.
+Every token of a text that is not ASCII opens a lattice (``llm/lattice.py``): the token as it stands, and what its
+bytes give for each channel of a table, with wildcards for lost bytes. Words with wildcards meet the corpus words
+that fit. Viterbi search picks each text's path: words score by their corpus frequency, a change into a damaged
+state has a price and staying in it has none.
 
 Frequencies are counted over the whole corpus. Only character counts, bounded by Unicode's code space, go to
-every task; words meet their counts in a join.
+every task; words meet their counts in a join. Tokens are decoded and scored once each and not at every place.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.lattice import LOST, LOST_WORD, NBSP, RANK, TOKEN, UTF8, WORD, Chars, candidates, lost_candidates, masks
 from quarrylens.operators.skew import hot_keys, join_unique
 from quarrylens.session import materialize, spread
 
-LOST = "�"
-# Fixed values: (name, steps), a step being (read as, written in). "windows-1252" maps its holes to controls,
-# so it covers a reading as Latin-1 too.
-CHANNELS: list[tuple[str, list[tuple[str, str]]]] = [
-    ("utf-8 as windows-1252", [("windows-1252", "utf-8")]),
-    ("utf-8 as windows-1252 twice", [("windows-1252", "utf-8"), ("windows-1252", "utf-8")]),
-    ("utf-8 as mac-roman", [("mac-roman", "utf-8")]),
-    ("utf-8 as cp437", [("cp437", "utf-8")]),
-    ("utf-8 as cp850", [("cp850", "utf-8")]),
-    ("utf-8 as windows-1251", [("windows-1251", "utf-8")]),
-    ("utf-8 as windows-1250", [("windows-1250", "utf-8")]),
-    ("utf-8 as iso-8859-15", [("iso-8859-15", "utf-8")]),
-    ("utf-8 as cp866", [("cp866", "utf-8")]),
-    ("utf-8 as koi8-r", [("koi8-r", "utf-8")]),
-    ("utf-8 as gb18030", [("gb18030", "utf-8")]),
-    ("windows-1251 as windows-1252", [("windows-1252", "windows-1251")]),
-    ("koi8-r as windows-1252", [("windows-1252", "koi8-r")]),
-    ("cp866 as windows-1252", [("windows-1252", "cp866")]),
-    ("koi8-r as windows-1251", [("windows-1251", "koi8-r")]),
-    ("windows-1251 as koi8-r", [("koi8-r", "windows-1251")]),
-    ("cp866 as windows-1251", [("windows-1251", "cp866")]),
-    ("windows-1251 as cp866", [("cp866", "windows-1251")]),
-    ("windows-1252 as windows-1251", [("windows-1251", "windows-1252")]),
-    ("windows-1252 as cp437", [("cp437", "windows-1252")]),
-    ("windows-1252 as cp850", [("cp850", "windows-1252")]),
-    ("windows-1252 as mac-roman", [("mac-roman", "windows-1252")]),
-    ("mac-roman as windows-1252", [("windows-1252", "mac-roman")]),
-    ("cp437 as windows-1252", [("windows-1252", "cp437")]),
-    ("cp850 as windows-1252", [("windows-1252", "cp850")]),
-    ("gb18030 as windows-1252", [("windows-1252", "gb18030")]),
-    ("big5 as windows-1252", [("windows-1252", "big5")]),
-    ("shift-jis as windows-1252", [("windows-1252", "shift_jis")]),
-    ("euc-kr as windows-1252", [("windows-1252", "euc-kr")]),
-    ("utf-8 as utf-16-le", [("utf-16-le", "utf-8")]),
-    ("utf-8 as utf-16-be", [("utf-16-be", "utf-8")]),
-]
-
-_TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
-_RUN = re.compile(r"[^\x00-\x7f]+")
-# Words: ideographs and syllables one by one, runs of other letters, other symbols beyond ASCII one by one.
-_WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]|[^\W\d_぀-ヿ㐀-䶿一-鿿가-힣]+|[^\x00-\x7f]")
-_LOST_WORD = re.compile(rf"[^\W\d_]*(?:{LOST}+[^\W\d_]*)+")
-# A Latin letter beside a Cyrillic one.
-_MIXED = re.compile(r"[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
-_PRINTED = re.compile(r"[\x20-\x7e\n\t]*\Z")
-
-
-def _encode(s: str, charset: str) -> bytes | None:
-    try:
-        return s.encode(charset)
-    except UnicodeEncodeError:
-        if charset not in ("windows-1252", "windows-1251", "windows-1250"):
-            return None
-    out = bytearray()
-    for ch in s:
-        try:
-            out += ch.encode(charset)
-        except UnicodeEncodeError:
-            if not 0x7F < ord(ch) < 0xA0:
-                return None
-            out.append(ord(ch))
-    return bytes(out)
-
-
-def _undo(s: str, steps: list[tuple[str, str]]) -> str | None:
-    """What ``s`` says once each reading is taken back, or None where it cannot have come that way."""
-    for read, written in steps:
-        b = _encode(s, read)
-        if b is None:
-            return None
-        try:
-            t = b.decode(written)
-        except UnicodeDecodeError:
-            return None
-        if read.startswith("utf-16"):
-            if not _PRINTED.match(t) or sum(c.isalpha() or c == " " for c in t) < 0.75 * len(t):
-                return None
-        elif any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 for c in t) and (read, written) != steps[0]:
-            return None
-        s = t
-    return s
-
-
-_WIDE = {"gb18030", "big5", "shift_jis", "euc-kr"}
-
-
-def candidates(token: str) -> dict[int, str]:
-    """channel number -> restored token, for each channel that fits at least one run of it.
-
-    A restoration does not make a word of two alphabets where there was none.
-    """
-    out: dict[int, str] = {}
-    for n, (_, steps) in enumerate(CHANNELS):
-        if steps[-1][1] in _WIDE:
-            t = _undo(token, steps)  # bytes of ASCII are part of wide characters
-        else:
-            t = _RUN.sub(lambda m, s=steps: x if (x := _undo(m.group(), s)) is not None else m.group(), token)
-        if t is not None and t != token and (_MIXED.search(token) or not _MIXED.search(t)):
-            out[n] = t
-    return out
-
 
 def _logs(counts: dict[str, int]) -> tuple[dict[str, float], float]:
     total = sum(counts.values()) or 1
@@ -133,34 +33,41 @@ def _corpus_counts(docs: DataFrame, text: str) -> DataFrame:
     """``(what, x, n)``: how often each character (what = c) and word (w) occurs in all texts, combined within each task."""
 
     def run(batches):
-        c: Counter = Counter()
+        c = np.zeros(0x110000, dtype=np.int64)
         w: Counter = Counter()
 
-        def rows():
-            return pd.DataFrame([("c", x, n) for x, n in c.items()] + [("w", x, n) for x, n in w.items()], columns=["what", "x", "n"])
+        def words():
+            return pd.DataFrame([("w", x, n) for x, n in w.items()], columns=["what", "x", "n"])
 
         for pdf in batches:
             for t in pdf[text]:
-                c.update(t)
-                w.update(_WORD.findall(t))
+                points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                if len(points):
+                    few = np.bincount(points)
+                    c[: len(few)] += few
+                w.update(WORD.findall(t))
             if len(w) > 300_000:
-                yield rows()
-                c.clear()
+                yield words()
                 w.clear()
-        yield rows()
+        yield words()
+        yield pd.DataFrame([("c", chr(i), c[i]) for i in np.flatnonzero(c)], columns=["what", "x", "n"])
 
     return spread(docs.select(text)).mapInPandas(run, "what string, x string, n bigint").groupBy("what", "x").agg(F.sum("n").alias("n"))
 
 
-def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price: float = 6.0, token_price: float = 0.3, unclean: float = 8.0) -> DataFrame:
+_WORDS = "array<struct<w:string,lp:double,pat:string,keys:array<string>>>"
+
+
+def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price: float = 6.0, token_price: float = 0.3, unclean: float = 8.0, sure: float = 0.75) -> DataFrame:
     """``(key, spans)`` of every document with damage; spans: array of (start, end, channel, restored).
 
-    ``channel`` names the wrong reading, or ``lost`` for lost characters, whose ``restored`` is null where no corpus
-    word fits. ``start_price`` is what entering a damaged state costs in the search, ``token_price`` what each
+    ``channel`` names the wrong reading, or ``lost`` for lost characters of which nothing is known, whose ``restored``
+    is null. ``start_price`` is what entering a damaged state costs in the search, ``token_price`` what each
     further token costs, both in natural logs of a probability. Into the lattice go restorations whose
     characters are likelier than the token's own. Where they are so by ``unclean``, the token as it stands does
     not count towards the word frequencies, so that damage which recurs does not become a word. A word that
-    is not in the corpus then is spelled out by its characters.
+    is not in the corpus then is spelled out by its characters. A word with lost letters has the frequency of
+    the likeliest corpus word that fits, and is filled where that word has at least the share ``sure`` of all that fit.
 
     Null, empty and ASCII texts have no damage. A repeated text under another key is judged again; rows
     repeated under one key are searched together and give one row. Whole texts are read.
@@ -170,124 +77,182 @@ def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price
     beyond = docs.filter(F.octet_length(text) > F.char_length(text))
     # at most one row for each of Unicode's 1,114,112 code points
     counts = materialize(_corpus_counts(docs, text))
-    chars = {r.x: r.n for r in counts.filter("what = 'c'").select("x", "n").collect()}
-    clog, cfloor = _logs(chars)
-    sent = docs.sparkSession.sparkContext.broadcast((clog, cfloor))
-
-    def lattice(batches):
-        logs, floor = sent.value
-        seen: dict[str, list] = {}
-
-        def score(s: str) -> float:
-            return sum(logs.get(c, floor) for c in s)
-
-        def spelled(t: str) -> list:
-            return [{"w": w, "lp": score(w)} for w in _WORD.findall(t)]
-
-        def options(tok: str) -> list:
-            got = seen.get(tok)
-            if got is None:
-                mine = score(tok)
-                fit = [(n, t, g) for n, t in candidates(tok).items() if (g := score(t) - mine) > 0]
-                got = [(n, t, spelled(t), False) for n, t, _ in fit]
-                if got:
-                    got.insert(0, (-1, tok, spelled(tok), max(g for _, _, g in fit) > unclean))
-                if len(seen) > 50_000:
-                    seen.clear()
-                seen[tok] = got
-            return got
-
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[text]):
-                for m in _TOKEN.finditer(t):
-                    tok = m.group()
-                    if tok.isascii():
-                        continue
-                    if LOST in tok:
-                        for x in _LOST_WORD.finditer(tok):
-                            out.append((k, m.start() + x.start(), m.start() + x.end(), -2, x.group(), [], False))
-                    for n, r, ws, bad in options(tok):
-                        out.append((k, m.start(), m.end(), n, r, ws, bad))
-            yield pd.DataFrame(out, columns=[key, "start", "end", "ch", "said", "words", "bad"])
-
-    cand = spread(beyond).mapInPandas(lattice, f"`{key}` {kt}, start int, end int, ch int, said string, words array<struct<w:string,lp:double>>, bad boolean")
-    cand = materialize(cand)
-    doubted = cand.filter("bad").select(F.explode("words").alias("x")).groupBy(F.col("x.w").alias("word")).agg(F.count(F.lit(1)).alias("less"))
-    counted = counts.filter("what = 'w'").select(F.col("x").alias("word"), "n").join(doubted, "word", "left").select("word", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).filter("n > 0")
+    sent = docs.sparkSession.sparkContext.broadcast((*_logs({r.x: r.n for r in counts.filter("what = 'c'").select("x", "n").collect()}), sure))
+    cand = materialize(spread(beyond).mapInPandas(_lattices(sent, key, text, unclean), f"`{key}` {kt}, start int, end int, token string, ch string, alt int, said string, words {_WORDS}, bad boolean"))
+
+    places = cand.filter("ch IS NULL").select(key, "start", "end", "token")
+    # one row a token, channel and reading; tasks that met the same token made the same rows
+    readings = cand.filter("ch IS NOT NULL").select("token", "ch", "alt", "said", "words", "bad").dropDuplicates(["token", "ch", "alt"])
+    often = materialize(places.groupBy("token").agg(F.count(F.lit(1)).alias("times")))
+    doubted = readings.filter("bad").join(often, "token").select("times", F.explode("words").alias("x")).groupBy(F.col("x.w").alias("word")).agg(F.sum("times").alias("less"))
+    counted = counts.filter("what = 'w'").select(F.col("x").alias("word"), "n").join(doubted, "word", "left").select("word", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).filter((F.col("n") > 0) & ~F.col("word").contains(LOST))
     counted = materialize(counted)
     n_words = counted.agg(F.sum("n").alias("n")).first().n or 1
     vlog, vfloor = math.log(n_words), math.log(0.5 / n_words)
 
-    # lattice of whole characters: each word's frequency
-    each = cand.filter("ch >= -1").select(key, "start", "ch", F.explode("words").alias("x")).select(key, "start", "ch", F.col("x.w").alias("word"), F.col("x.lp").alias("spelled"))
+    # lattice of whole words: each word's frequency, or that of the likeliest word that fits
+    each = readings.select("token", "ch", "alt", F.posexplode("words").alias("at", "x")).select("token", "ch", "alt", "at", F.col("x.w").alias("word"), F.col("x.lp").alias("spelled"), F.col("x.pat").alias("pat"), F.col("x.keys").alias("keys"))
     hot = hot_keys(counted, "word", "n", n_words)
-    scored = join_unique(each, counted, "word", hot, [key, "start", "ch"], how="left")
-    unseen = F.lit(vfloor) + F.col("spelled")
-    points = scored.groupBy(key, "start", "ch").agg(F.sum(F.when(F.col("n").isNotNull(), F.log("n") - vlog).otherwise(unseen)).alias("lp"))
-    nodes = cand.filter("ch >= -1").join(points, [key, "start", "ch"], "left").select(key, F.struct("start", "end", "ch", "said", F.coalesce("lp", F.lit(0.0)).alias("lp")).alias("node"))
-
-    # wildcards: words whose characters beyond ASCII, each a byte or each a character lost, are as many
-    lost = cand.filter("ch = -2").select(key, "start", "end", F.regexp_replace("said", f"{LOST}+", LOST).alias("mask"), (F.char_length("said") - F.char_length(F.regexp_replace("said", LOST, ""))).alias("gap"))
-    fits = counted.filter(F.octet_length("word") > F.char_length("word")).filter(~F.col("word").contains(LOST)).withColumn("mask", F.regexp_replace("word", r"[^\x00-\x7f]+", LOST)).filter(F.char_length("mask") > 1)
-    high = F.regexp_replace("word", r"[\x00-\x7f]+", "")
-    fits = fits.withColumn("gap", F.explode(F.array_distinct(F.array(F.char_length(high), F.octet_length(high))))).groupBy("mask", "gap").agg(F.max_by("word", F.struct("n", "word")).alias("best"))
-    filled = lost.join(fits, ["mask", "gap"], "left").select(key, F.struct("start", "end", F.lit(-2).alias("ch"), F.col("best").alias("said"), F.lit(0.0).alias("lp")).alias("node"))
+    whole = join_unique(each.filter("pat IS NULL"), counted, "word", hot, ["token", "ch", "alt"], how="left").select("token", "ch", "alt", "at", "spelled", "n", F.lit(None).cast("string").alias("fill"))
+    torn = each.filter("pat IS NOT NULL").join(_fits(each, counted, sure), "pat", "left").select("token", "ch", "alt", "at", "spelled", "n", F.coalesce("fill", "word").alias("fill"))
+    lp = F.when(F.col("n").isNotNull(), F.log("n") - vlog).otherwise(F.lit(vfloor) + F.col("spelled"))
+    scored = whole.unionByName(torn).groupBy("token", "ch", "alt").agg(F.sum(lp).alias("lp"), F.array_sort(F.collect_list(F.when(F.col("fill").isNotNull(), F.struct("at", "fill")))).alias("fills"))
+    # the best reading of each channel, by what it gains over the token as it stands
+    best = scored.groupBy("token", "ch").agg(F.max("lp").alias("lp"), F.max_by(F.struct("alt", "fills"), F.struct("lp", -F.col("alt"))).alias("b")).select("token", "ch", "lp", "b.alt", "b.fills")
+    plain = best.filter("ch = ''").select("token", F.col("lp").alias("plain"))
+    gains = best.filter("ch <> ''").join(plain, "token").withColumn("gain", F.col("lp") - F.col("plain") - token_price).filter("gain > 0")
+    nodes = gains.join(readings.select("token", "ch", "alt", "said"), ["token", "ch", "alt"]).groupBy("token").agg(F.collect_list(F.struct("ch", "gain", "said", "fills")).alias("nodes"))
+
+    # a token that gains nothing on any channel has no part in the search: a channel goes on past it at no cost
+    hot = hot_keys(often, "token", "times", cand.filter("ch IS NULL").count())
+    found = join_unique(places, nodes, "token", hot, [key, "start"], how="left").filter(F.col("nodes").isNotNull() | F.col("token").contains(LOST))
+
+    def read(tok: str, nodes) -> list:
+        got = [(n["ch"], n["gain"], _filled(n["said"], n["fills"])) for n in (nodes if nodes is not None else [])]
+        # a reading of lost letters that fills none says nothing
+        return [x for x in got if x[0] in RANK or len(LOST_WORD.findall(x[2])) < len(LOST_WORD.findall(tok))]
 
     def search(batches):
         for pdf in batches:
             out = []
-            for k, ns in zip(pdf[key], pdf["nodes"]):
-                spans = viterbi([(n["start"], n["end"], n["ch"], n["said"], n["lp"]) for n in ns], start_price, token_price)
+            for k, ps in zip(pdf[key], pdf["places"]):
+                spans = viterbi([(p["start"], p["end"], p["token"], read(p["token"], p["nodes"])) for p in ps], start_price)
                 if spans:
-                    out.append((k, [{"start": s, "end": e, "channel": "lost" if c == -2 else CHANNELS[c][0], "restored": r} for s, e, c, r in spans]))
+                    out.append((k, [{"start": s, "end": e, "channel": c, "restored": r} for s, e, c, r in spans]))
             yield pd.DataFrame(out, columns=[key, "spans"])
 
     # one group is the damaged-looking tokens of one document
-    per_doc = nodes.unionByName(filled).groupBy(key).agg(F.collect_list("node").alias("nodes"))
+    per_doc = found.groupBy(key).agg(F.collect_list(F.struct("start", "end", "token", "nodes")).alias("places"))
     return per_doc.mapInPandas(search, f"`{key}` {kt}, spans array<struct<start:int,end:int,channel:string,restored:string>>")
 
 
-def viterbi(nodes: list[tuple], start_price: float, token_price: float) -> list[tuple]:
-    """The damaged spans (start, end, channel, restored) of the best path; nodes: (start, end, channel, said, log p).
+def _lattices(sent, key: str, text: str, unclean: float):
+    """Two kinds of rows: a place (ch null) for each occurrence of a token with readings, and each token's readings, the first being itself (ch '')."""
+
+    def words(t: str, classes: list[str], chars: Chars) -> list:
+        out, it = [], iter(classes)
+        for w in WORD.findall(t):
+            lp, mine = chars.score(w), [next(it) for _ in range(w.count(LOST))] if classes else []
+            keys, pat = masks(w, mine) if mine else (None, None)
+            out.append({"w": w, "lp": lp, "pat": pat, "keys": keys})
+        return out
+
+    def readings(tok: str, blank: str, chars: Chars) -> list:
+        fit, mine = list(candidates(tok, chars)), chars.score(tok)
+        gains = [chars.score(t) - mine for _, t, _ in fit]
+        fit = [(ch, t + blank, classes) for ch, t, classes in fit]
+        if blank or tok[-1] in _LEADS and len(tok) > 1:
+            mine += chars.score(" ")
+            ends = [x for x in candidates(tok + NBSP, chars, _BLANK) if x[1][-1] != NBSP and chars.score(x[1]) > mine]
+            gains += [chars.score(t) - mine for _, t, _ in ends]
+            fit += ends
+        if LOST in tok:
+            fit += lost_candidates(tok)
+        alts: Counter = Counter()
+        out = [("", 0, tok + blank, words(tok, [], chars), max(gains, default=0.0) > unclean)] if fit else []
+        for ch, t, classes in fit:
+            # a lost character that is still there and open to nothing may be any letter
+            out.append((ch, alts[ch], t, words(t, classes or [""] * t.count(LOST), chars), False))
+            alts[ch] += 1
+        return out
 
-    Channel -1 is the token as it stands, -2 a lost one, which is damage on any path.
+    def run(batches):
+        chars = Chars(*sent.value)
+        seen: dict[str, bool] = {}
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                for m in TOKEN.finditer(t):
+                    tok = m.group()
+                    if tok.isascii():
+                        continue
+                    a, b = m.span()
+                    # Two blanks: the first may have been a no-break space, the last byte of the character before it.
+                    blank = " " if tok[-1] in _LEADS and t[b : b + 2].isspace() and t[b] == " " and b + 1 < len(t) else ""
+                    some = seen.get(tok + blank)
+                    if some is None:
+                        got = readings(tok, blank, chars)
+                        out += [(None, None, None, tok + blank, *g) for g in got]
+                        if len(seen) > 50_000:
+                            seen.clear()
+                        some = seen[tok + blank] = bool(got)
+                    if some or LOST in tok:
+                        out.append((k, a, b + len(blank), tok + blank, None, None, None, None, None))
+            df = pd.DataFrame(out, columns=[key, "start", "end", "token", "ch", "alt", "said", "words", "bad"])
+            yield df.astype({"start": "Int32", "end": "Int32", "alt": "Int32"})
+
+    return run
+
+
+# Channels in which a no-break space is a byte that may end a character, and the characters one of two bytes begins with.
+_BLANK = [ch for ch in UTF8 if ch.blank]
+_LEADS = frozenset(c for ch in _BLANK for c in ch.leads)
+
+
+def _fits(each: DataFrame, counted: DataFrame, sure: float) -> DataFrame:
+    """``(pat, n, fill)``: of each pattern the count of the likeliest corpus word that fits, and that word if it has the share ``sure``."""
+    wanted = each.filter("pat IS NOT NULL").select("pat", F.explode("keys").alias("mask")).distinct()
+    # Only keys of the kinds and lengths that are wanted are made of the corpus's words.
+    words = counted.filter(F.octet_length("word") > F.char_length("word"))
+    latin = F.col("word").rlike("[A-Za-z]")
+    ascii_ = words.filter(latin).select("word", "n", F.concat(F.lit("a:"), F.regexp_replace("word", r"[^\x00-\x7f]+", LOST)).alias("mask"))
+    ends = F.expr("flatten(transform(sequence(1, char_length(word) - 1), i -> array(concat('p:', char_length(word), ':', left(word, i)), concat('s:', char_length(word), ':', right(word, i)))))")
+    other = words.filter(~latin & (F.char_length("word") > 1)).select("word", "n", F.explode(ends).alias("mask"))
+    fit = ascii_.unionByName(other).join(wanted, "mask").filter(F.expr("rlike(word, concat('^(?:', pat, ')$'))"))
+    got = fit.groupBy("pat").agg(F.max("n").alias("n"), F.sum("n").alias("all"), F.max_by("word", F.struct("n", "word")).alias("best"))
+    return got.select("pat", "n", F.when(F.col("n") >= sure * F.col("all"), F.col("best")).alias("fill"))
+
+
+def _filled(said: str, fills) -> str:
+    """``said`` with the words of the numbers in ``fills`` replaced."""
+    if fills is None or not len(fills):
+        return said
+    to = {int(f["at"]): f["fill"] for f in fills}
+    at, out = 0, []
+    for n, m in enumerate(WORD.finditer(said)):
+        if n in to:
+            out += [said[at : m.start()], to[n]]
+            at = m.end()
+    return "".join([*out, said[at:]])
+
+
+def viterbi(places: list[tuple], start_price: float) -> list[tuple]:
+    """The damaged spans (start, end, channel, restored) of the best path.
+
+    places: (start, end, token, [(channel, gain over the token as it stands, restored)]). Where the path keeps a
+    token that lost characters, its torn words come out as ``lost``, restored None.
     """
-    lost = sorted({n[:4] for n in nodes if n[2] == -2})
-    steps: dict[int, dict[int, tuple]] = {}
-    for n in nodes:
-        if n[2] != -2:
-            steps.setdefault(n[0], {})[n[2]] = n
-    best: dict[int, tuple[float, tuple | None]] = {-1: (0.0, None)}
-    for at in sorted(steps):
-        here = steps[at]
-        top = max(best.items(), key=lambda x: (x[1][0], -x[0]))
-        new: dict[int, tuple[float, tuple | None]] = {}
-        for ch, node in here.items():
-            if ch == -1:
-                new[ch] = (top[1][0] + node[4], (node, top[1][1]))
-            else:
-                stay = best.get(ch)
-                enter = top[1][0] - start_price
-                base, back = (stay[0], stay[1]) if stay and stay[0] >= enter else (enter, top[1][1])
-                new[ch] = (base + node[4] - token_price, (node, back))
-        # a state whose channel does not fit this token lives on with the token as it stands
-        plain = here.get(-1)
-        for ch, (s, back) in best.items():
-            if ch >= 0 and ch not in here and plain is not None:
-                new[ch] = (s + plain[4], (plain, back))
+    rank = lambda x: (x[1][0], -RANK.get(x[0], -1 if x[0] == "" else len(RANK)))  # noqa: E731  # of equal paths the first channel
+    # state: channel, '' for none -> (score, path)
+    best: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
+    places = sorted({(a, b, t): ns for a, b, t, ns in places}.items())
+    for (a, b, _), nodes in places:
+        top = max(best.items(), key=rank)[1]
+        # without a node for it here, a channel goes on with the token as it stands
+        new = {ch: (s, path) for ch, (s, path) in best.items()} | {"": top}
+        for ch, gain, said in nodes:
+            stay = best.get(ch)
+            s, path = max([(top[0] - start_price, top[1])] + ([stay] if stay else []), key=lambda x: x[0])
+            if ch not in new or s + gain > new[ch][0]:
+                new[ch] = (s + gain, ((a, b, ch, said), path))
         best = new
-    path = max(best.values(), key=lambda x: x[0])[1] if best else None
+    path = max(best.items(), key=rank)[1][1]
     out = []
     while path:
         node, path = path
-        if node[2] >= 0:
-            out.append(node[:4])
-    return sorted(lost + out, key=lambda x: (x[0], x[1]))
+        out.append(node)
+    done = {n[0] for n in out}
+    for (a, _, t), _ in places:
+        if a not in done:
+            out += [(a + m.start(), a + m.end(), "lost", None) for m in LOST_WORD.finditer(t)]
+    return sorted(out, key=lambda x: (x[0], x[1]))
 
 
 def restore(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, channels, n_spans, n_unrestored, restored)``: the damaged texts with what could be restored put in."""
+    """``(key, channels, n_spans, n_unrestored, restored)``: the damaged texts with what could be restored put in.
+
+    A span is unrestored while characters of it are lost or it holds what UTF-8 read as windows-1252 looks like.
+    """
     kt = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -298,12 +263,11 @@ def restore(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str =
                 for s in ss:
                     if s["start"] < at:
                         continue
-                    keep = s["restored"]
-                    missed += keep is None
-                    parts += [t[at : s["start"]], t[s["start"] : s["end"]] if keep is None else keep]
+                    said = t[s["start"] : s["end"]] if s["restored"] is None else s["restored"]
+                    missed += LOST in said or UTF8[0].find.search(said) is not None
+                    parts += [t[at : s["start"]], said]
                     at = s["end"]
-                new = "".join([*parts, t[at:]])
-                out.append((k, sorted({s["channel"] for s in ss}), len(ss), missed, new))
+                out.append((k, sorted({s["channel"] for s in ss}), len(ss), missed, "".join([*parts, t[at:]])))
             yield pd.DataFrame(out, columns=[key, "channels", "n_spans", "n_unrestored", "restored"])
 
     return docs.select(key, text).join(spans, key).mapInPandas(run, f"`{key}` {kt}, channels array<string>, n_spans int, n_unrestored int, restored string")
