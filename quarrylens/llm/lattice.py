@@ -16,10 +16,11 @@ from functools import cached_property, lru_cache
 
 LOST = "�"
 NBSP = "\xa0"
-TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
+# Tokens that hold something beyond ASCII.
+TOKEN = re.compile(r"(?<![^ \t\n\r\f\v])[\x00-\x08\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^ \t\n\r\f\v]*")
 _IDEO = "぀-ヿ㐀-䶿一-鿿가-힣"
 # Words: ideographs and syllables one by one, runs of other letters and lost ones, other symbols beyond ASCII one by one.
-WORD = re.compile(rf"[{_IDEO}]|(?:[^\W\d_{_IDEO}]|{LOST})+|[^\x00-\x7f]")
+WORD = re.compile(rf"[A-Za-z]++(?![^\x00-\x7f])|[{_IDEO}]|(?:[^\W\d_{_IDEO}]|{LOST})+|[^\x00-\x7f]")
 LOST_WORD = re.compile(rf"[^\W\d_]*(?:{LOST}+[^\W\d_]*)+")
 # A Latin letter beside a Cyrillic one, two beside a Greek one (formulas have one).
 _MIXED = re.compile(r"[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]|[A-Za-zÀ-ɏ]{2}[Ͱ-Ͽ]|[Ͱ-Ͽ][A-Za-zÀ-ɏ]{2}")

@@ -17,6 +17,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.llm.lattice import LOST, LOST_WORD, NBSP, RANK, TOKEN, UTF8, WORD, Chars, candidates, lost_candidates, masks
@@ -82,7 +83,7 @@ def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price
 
     places = cand.filter("ch IS NULL").select(key, "start", "end", "token")
     # one row a token, channel and reading; tasks that met the same token made the same rows
-    readings = cand.filter("ch IS NOT NULL").select("token", "ch", "alt", "said", "words", "bad").dropDuplicates(["token", "ch", "alt"])
+    readings = materialize(cand.filter("ch IS NOT NULL").select("token", "ch", "alt", "said", "words", "bad").dropDuplicates(["token", "ch", "alt"]))
     often = materialize(places.groupBy("token").agg(F.count(F.lit(1)).alias("times")))
     doubted = readings.filter("bad").join(often, "token").select("times", F.explode("words").alias("x")).groupBy(F.col("x.w").alias("word")).agg(F.sum("times").alias("less"))
     counted = counts.filter("what = 'w'").select(F.col("x").alias("word"), "n").join(doubted, "word", "left").select("word", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).filter((F.col("n") > 0) & ~F.col("word").contains(LOST))
@@ -98,9 +99,9 @@ def damage(docs: DataFrame, key: str = "doc_id", text: str = "text", start_price
     lp = F.when(F.col("n").isNotNull(), F.log("n") - vlog).otherwise(F.lit(vfloor) + F.col("spelled"))
     scored = whole.unionByName(torn).groupBy("token", "ch", "alt").agg(F.sum(lp).alias("lp"), F.array_sort(F.collect_list(F.when(F.col("fill").isNotNull(), F.struct("at", "fill")))).alias("fills"))
     # the best reading of each channel, by what it gains over the token as it stands
-    best = scored.groupBy("token", "ch").agg(F.max("lp").alias("lp"), F.max_by(F.struct("alt", "fills"), F.struct("lp", -F.col("alt"))).alias("b")).select("token", "ch", "lp", "b.alt", "b.fills")
-    plain = best.filter("ch = ''").select("token", F.col("lp").alias("plain"))
-    gains = best.filter("ch <> ''").join(plain, "token").withColumn("gain", F.col("lp") - F.col("plain") - token_price).filter("gain > 0")
+    of_token = W.partitionBy("token")
+    best = scored.withColumn("gain", F.col("lp") - F.max(F.when(F.col("ch") == "", F.col("lp"))).over(of_token) - token_price).filter("gain > 0")
+    gains = best.groupBy("token", "ch").agg(F.max("gain").alias("gain"), F.max_by(F.struct("alt", "fills"), F.struct("gain", -F.col("alt"))).alias("b")).select("token", "ch", "gain", "b.alt", "b.fills")
     nodes = gains.join(readings.select("token", "ch", "alt", "said"), ["token", "ch", "alt"]).groupBy("token").agg(F.collect_list(F.struct("ch", "gain", "said", "fills")).alias("nodes"))
 
     # a token that gains nothing on any channel has no part in the search: a channel goes on past it at no cost
@@ -160,12 +161,10 @@ def _lattices(sent, key: str, text: str, unclean: float):
         chars = Chars(*sent.value)
         seen: dict[str, bool] = {}
         for pdf in batches:
-            out = []
+            out, at = [], []
             for k, t in zip(pdf[key], pdf[text]):
                 for m in TOKEN.finditer(t):
                     tok = m.group()
-                    if tok.isascii():
-                        continue
                     a, b = m.span()
                     # Two blanks: the first may have been a no-break space, the last byte of the character before it.
                     blank = " " if tok[-1] in _LEADS and t[b : b + 2].isspace() and t[b] == " " and b + 1 < len(t) else ""
@@ -177,9 +176,10 @@ def _lattices(sent, key: str, text: str, unclean: float):
                             seen.clear()
                         some = seen[tok + blank] = bool(got)
                     if some or LOST in tok:
-                        out.append((k, a, b + len(blank), tok + blank, None, None, None, None, None))
+                        at.append((k, a, b + len(blank), tok + blank))
             df = pd.DataFrame(out, columns=[key, "start", "end", "token", "ch", "alt", "said", "words", "bad"])
-            yield df.astype({"start": "Int32", "end": "Int32", "alt": "Int32"})
+            yield df.astype({"start": "Int32", "end": "Int32"})
+            yield pd.DataFrame(at, columns=[key, "start", "end", "token"]).assign(ch=None, alt=pd.array([pd.NA] * len(at), "Int32"), said=None, words=None, bad=None)
 
     return run
 
