@@ -12,6 +12,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.llm.grammars.json import lexemes
@@ -100,65 +101,87 @@ def digests(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.filter(F.col(text).isNotNull()).select(key, text)).mapInPandas(run, f"`{key}` {kt}, flat_digest binary, tree_digest binary")
 
 
-def _classes(d: DataFrame) -> DataFrame:
-    """``(flat_digest, label)`` for the flat digests that trees join together.
+def components(edges: DataFrame) -> DataFrame:
+    """``(u, root)`` of every node that is not the least of its component, from edges ``(u, v)`` of distinct nodes.
 
-    Labels spread over shared trees until nothing changes. Only JSON objects take part, one row for each
-    pair of digests; a chain of n steps would take n rounds, and copies in other field order take one.
+    Large stars and small stars in turn (Kiveris et al. 2014): each node's neighbours move over to the least of them,
+    so that rounds grow with the logarithm of a component's size and no component is gathered.
     """
-    edges = materialize(d.filter(F.col("tree_digest").isNotNull()).select("flat_digest", "tree_digest").distinct().withColumn("label", F.col("flat_digest")))
-    while True:
-        by_tree = edges.groupBy("tree_digest").agg(F.min("label").alias("t"))
-        spread_ = edges.join(by_tree, "tree_digest")
-        by_flat = spread_.groupBy("flat_digest").agg(F.min("t").alias("new"))
-        nxt = materialize(edges.join(by_flat, "flat_digest").select("flat_digest", "tree_digest", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
-        moved = nxt.filter("moved").limit(1).count()
-        edges = nxt.drop("moved")
-        if not moved:
-            break
-    return edges.groupBy("flat_digest").agg(F.min("label").alias("label"))
-
-
-def copies(df: DataFrame, key: str = "record_id", text: str = "generated_code", hot_share: float = 0.005, salts: int = 32, confirm: bool = True) -> tuple[DataFrame, DataFrame]:
+    ends = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    of = W.partitionBy("u")
+    edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before, now = None, ends(edges)
+    while before != now:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least("u", F.min("v").over(of))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.withColumn("m", F.min("v").over(of))
+        edges = materialize(least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
+        before, now = now, ends(edges)
+    return edges.select("u", F.col("v").alias("root"))
+
+
+def copies(df: DataFrame, key: str = "record_id", text: str = "generated_code", hot_share: float = 0.005, salts: int = 32) -> tuple[DataFrame, DataFrame]:
     """The distinct contents and the further copies of each.
 
     ``distinct(key, n_copies)``: of each content the smallest key and the number of its records.
     ``pairs(first_id, copy_id)``: of each content with two or more, each further record. Null texts belong to
-    neither; texts without letters and digits are one content; a repeated key counts as one record (one of its
-    texts if they differ, so keys should be unique).
+    neither; texts without letters and digits are one content. Repeated rows count once; a key repeated with
+    another content is a record of each.
 
-    A pair is confirmed by comparing both whole texts, letters and digits or canonical trees; where neither
-    is equal, the two being linked over third records, the class must hold several trees or texts, else the
-    query fails rather than give a pair on a collision of 128 bits.
+    Both results come from records confirmed on whole texts: those under one digest of letters and digits hold the
+    same letters and digits, and those under one digest of trees the same canonical tree, so that contents
+    linked over third records are confirmed link by link. The query fails rather than give a collision of 128 bits.
 
-    Groups above ``hot_share`` of all records, at most 1 / hot_share of them, are split over ``salts`` parts in
-    the joins; every other step pre-aggregates.
+    Only records with copies have their texts read again. Digests above ``hot_share`` of all records, at most
+    1 / hot_share of them, are split over ``salts`` parts, each with the first text; every other step pre-aggregates.
     """
-    d = materialize(digests(df, key, text).dropDuplicates([key]))
-    total = d.count()
-    hot_texts = hot_keys(d.groupBy("flat_digest").agg(F.count(F.lit(1)).alias("n")), "flat_digest", "n", total, hot_share)
-    lab = join_unique(d, _classes(d), "flat_digest", [bytes(x) for x in hot_texts], [key], salts, "left")
-    lab = materialize(lab.select(F.col(key), F.coalesce("label", "flat_digest").alias("class"), "flat_digest"))
-    groups = materialize(lab.groupBy("class").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("n"), F.min("flat_digest").alias("f0"), F.max("flat_digest").alias("f1")))
-    distinct = groups.select(F.col("first_id").alias(key), F.col("n").alias("n_copies"))
-    hot = [bytes(x) for x in hot_keys(groups, "class", "n", total, hot_share)]
-    many = groups.filter("n > 1").select("class", "first_id", (F.col("f0") != F.col("f1")).alias("linked"))
-    pairs = join_unique(lab, many, "class", hot, [key], salts).filter(F.col(key) != F.col("first_id")).select("class", "first_id", F.col(key).alias("copy_id"), "linked")
-    if not confirm:
-        return distinct, pairs.select("first_id", "copy_id")
-    texts = df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("t")).dropDuplicates([key])
-    firsts = many.select("class", "first_id").join(texts.withColumnRenamed(key, "first_id").withColumnRenamed("t", "ft"), "first_id").drop("first_id")
-    both = join_unique(pairs.join(texts.withColumnRenamed(key, "copy_id").withColumnRenamed("t", "ct"), "copy_id"), firsts, "class", hot, ["copy_id"], salts)
-    kt = df.schema[key].dataType.simpleString()
+    d = materialize(digests(df, key, text).distinct())
+    flats = d.groupBy("flat_digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("head"))
+    # Trees that several texts share link these; one record stands for each text of such a tree.
+    trees = d.filter(F.col("tree_digest").isNotNull()).groupBy("tree_digest", "flat_digest").agg(F.min(key).alias(key))
+    texts_of = W.partitionBy("tree_digest")
+    trees = trees.withColumn("m", F.min("flat_digest").over(texts_of)).withColumn("last", F.max("flat_digest").over(texts_of)).withColumn("first_key", F.min(F.struct("flat_digest", key)).over(texts_of)[key])
+    trees = materialize(trees.filter("m <> last"))
+    roots = components(trees.select(F.col("flat_digest").alias("u"), F.col("m").alias("v"))).withColumnRenamed("u", "flat_digest")
+    flats = materialize(flats.join(roots, "flat_digest", "left").withColumn("class", F.coalesce("root", "flat_digest")).drop("root"))
+    groups = flats.groupBy("class").agg(F.sum("n").alias("n_all"), F.min("head").alias("first_id"))
+    many = materialize(flats.join(groups.filter("n_all > 1"), "class").select("flat_digest", "n", "head", "first_id"))
+
+    hot = [bytes(x) for x in hot_keys(many, "flat_digest", "n", d.count(), hot_share)]
+    same = join_unique(d.select(key, "flat_digest"), many.filter("n > 1"), "flat_digest", hot, [key], salts)
+    same = same.select(key, F.lit("flat").alias("kind"), F.col("flat_digest").alias("digest"), (F.col(key) == F.col("head")).alias("head"), "first_id", F.lit(True).alias("emit"))
+    linked = trees.join(many.select("flat_digest", "n", "first_id"), "flat_digest")
+    linked = linked.select(key, F.lit("tree").alias("kind"), F.col("tree_digest").alias("digest"), (F.col(key) == F.col("first_key")).alias("head"), "first_id", (F.col("n") == 1).alias("emit"))
+    is_hot = F.col("digest").isin(hot) if hot else F.lit(False)
+    # The first text of a hot digest goes to all parts, and comes out of one.
+    parts = F.when(~is_hot, F.array(F.lit(0))).when(F.col("head"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")))
+    todo = same.unionByName(linked).withColumn("part", F.explode(parts)).withColumn("emit", F.col("emit") & (~F.col("head") | (F.col("part") == 0)))
+    at = ["kind", "digest", "part"]
+    read = df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("__text")).join(todo, key)
+    read = read.repartition(*at).sortWithinPartitions(*at, F.col("head").desc(), key)
 
     def check(batches):
+        group, first = None, None
         for pdf in batches:
-            for f, c, a, b, linked in zip(pdf.first_id, pdf.copy_id, pdf.ft, pdf.ct, pdf.linked):
-                if flat(a) != flat(b):
-                    x, y = merkle(a), merkle(b)
-                    if not linked or (x and y and x[0] == y[0] and x[1] != y[1]):
-                        raise ValueError(f"digest collision between {f} and {c}")
-            yield pdf[["first_id", "copy_id"]]
-
-    confirmed = both.select("first_id", "copy_id", "ft", "ct", "linked").mapInPandas(check, f"first_id {kt}, copy_id {kt}")
-    return distinct, confirmed
+            out = []
+            for k, kind, digest, part, f, emit, t in zip(pdf[key], pdf.kind, pdf.digest, pdf.part, pdf.first_id, pdf.emit, pdf.__text):
+                if kind == "flat":
+                    form = flat(t)
+                    mine = _h(form.encode("utf-8", "surrogatepass"))
+                else:
+                    mine, form = merkle(t) or (None, None)
+                if mine != bytes(digest):
+                    continue  # another text of a repeated key
+                if group != (kind, digest, part):
+                    group, first = (kind, digest, part), form
+                if form != first:
+                    raise ValueError(f"digest collision in the group of {f}: {k}")
+                if emit:
+                    out.append((f, k))
+            yield pd.DataFrame(out, columns=["first_id", "copy_id"])
+
+    kt = df.schema[key].dataType.simpleString()
+    confirmed = read.select(key, *at, "first_id", "emit", "__text").mapInPandas(check, f"first_id {kt}, copy_id {kt}").distinct()
+    alone = groups.filter("n_all = 1").select(F.col("first_id").alias(key), F.lit(1).cast("long").alias("n_copies"))
+    distinct = alone.unionByName(confirmed.groupBy(F.col("first_id").alias(key)).agg(F.count(F.lit(1)).alias("n_copies")))
+    return distinct, confirmed.filter("first_id <> copy_id")

@@ -61,7 +61,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return copies.copies(_codes(spark, d), confirm=False)[0]
+    return copies.copies(_codes(spark, d))[0]
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

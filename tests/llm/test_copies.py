@@ -1,7 +1,10 @@
 import json
 import random
 
-from quarrylens.llm.copies import copies, flat, merkle
+import pytest
+
+from quarrylens.llm import copies as C
+from quarrylens.llm.copies import components, copies, flat, merkle
 
 
 def pairs(spark, rows, **kw):
@@ -47,3 +50,41 @@ def test_merkle():
     doc = {f"k{i}": {"l": [i, {"m": i, "n": [i]}], "t": f"T {i}"} for i in range(20)}
     assert all(merkle(json.dumps(shuffled(doc)))[0] == merkle(json.dumps(doc).upper().replace("NULL", "null"))[0] for _ in range(5))
     assert flat("Straße_1-É") == flat("STRASSE 1é")
+
+
+def test_a_repeated_key(spark):
+    # equal rows count once, another content under the key is a record of its own class
+    rows = [(1, "a b", ""), (1, "a b", ""), (2, "ab", ""), (2, "c", ""), (3, "C!", ""), (4, "d", ""), (4, "D", "")]
+    assert pairs(spark, rows) == ([(1, 2), (2, 3)], [(1, 2), (2, 2), (4, 1)])
+
+
+@pytest.mark.parametrize("n", [2, 3, 40, 257])
+def test_components(spark, n):
+    rnd = random.Random(n)
+    names = [f"{i:04d}".encode() for i in range(n)]
+    order = rnd.sample(names, n)  # one long chain, and one that is a star
+    edges = list(zip(order, order[1:])) + [(b"z9", b"z" + bytes([i])) for i in range(20)] + [(b"q", b"q")]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u binary, v binary")).collect()))
+    want = {x: names[0] for x in names[1:]} | {b"z" + bytes([i]): b"z\0" for i in range(1, 20)} | {b"z9": b"z\0"}
+    assert {bytes(k): bytes(v) for k, v in got.items()} == want
+
+
+def test_a_long_chain_of_links(spark):
+    # text i and i + 1 share a tree or a text in turn: a broken copy of each order of fields links to it by its letters
+    a = ['{"a": 1, "b": 2, "c": 3}', '{"b": 2, "a": 1, "c": 3}', '{"c": 3, "b": 2, "a": 1}']
+    rows = [(10 + i, t, "") for i, t in enumerate(a)] + [(20 + i, t.replace(":", " "), "") for i, t in enumerate(a)]
+    assert pairs(spark, rows) == ([(10, x) for x in (11, 12, 20, 21, 22)], [(10, 6)])
+
+
+@pytest.mark.parametrize("text, other", [("x y", "xz"), ('{"a": 1, "b": 2}', '{"b": 2, "a": 3}')])
+def test_a_collision_is_an_error(spark, monkeypatch, text, other):
+    # digests of eight bits: hundreds of contents must collide
+    rows = [(i, f"{text} {i}" if text[0] == "x" else text.replace("1", str(i)), "") for i in range(600)]
+    src = C._h
+
+    def short(*parts):
+        return src(*parts)[:1]
+
+    monkeypatch.setattr(C, "_h", short)
+    with pytest.raises(Exception, match="digest collision"):
+        pairs(spark, rows)
