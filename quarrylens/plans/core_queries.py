@@ -29,6 +29,26 @@ def p3_replaced_block_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return shred.shred(table(spark, d, "ledger"), "ledger_id", "cascade_events[].replaced_block_ordinals").drop("ordinals")
 
 
+def p3_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The parent table: one row a delivered sample, with its plain fields and those of its structs."""
+    return shred.shred_all(table(spark, d, "samples"), "record_id", tables=[""]).table("")
+
+
+def p3_failure_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """A map as a table of keys and values."""
+    return shred.shred(table(spark, d, "samples"), "record_id", "failure_reason_counts{}").select("record_id", "key", "value")
+
+
+def p3_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred(table(spark, d, "samples"), "record_id", "watermark_params.adaptive_gamma.anchors{}").select("record_id", "key", "value")
+
+
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each table of samples and ledger has, all of them made in one pass over each."""
+    got = [shred.shred_all(table(spark, d, t), k, values=False).rows.select(F.lit(t).alias("source"), "child") for t, k in (("samples", "record_id"), ("ledger", "ledger_id"))]
+    return got[0].unionByName(got[1]).groupBy("source", "child").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "artifact_lines")).select("file_name", "change", "field_path", "old_path")
 
@@ -64,6 +84,10 @@ QUERIES = {
     "p3_retry_attempts": p3_retry_attempts,
     "p3_cascade_events": p3_cascade_events,
     "p3_replaced_block_ordinals": p3_replaced_block_ordinals,
+    "p3_samples": p3_samples,
+    "p3_failure_reasons": p3_failure_reasons,
+    "p3_anchors": p3_anchors,
+    "p3_tables": p3_tables,
     "p4_found": p4_found,
     "p4_lifespans": p4_lifespans,
     "p4_samples": _one_table("samples"),
@@ -86,6 +110,11 @@ FROM (SELECT ledger_id, pi, unnest(e.replaced_block_ordinals) AS v, generate_sub
       FROM (SELECT ledger_id, unnest(cascade_events) AS e, generate_subscripts(cascade_events, 1) AS pi FROM ledger))
 WHERE v IS NOT NULL"""
 
+_MAP = "FROM (SELECT record_id, unnest(map_entries({m})) AS e FROM samples)"
+_SAMPLE = ", ".join(
+    "record_id run_id id dataset repo file_path language code_form prompt generated_code adaptive_mode profile_id total_blocks embedded_blocks failed_blocks fallback_blocks embed_rate loaded_at".split()
+    + [f"{s}.{f} AS {s.replace('.', '_')}_{f}" for s, fs in (("alignment_summary", "final_block_count generator_total_blocks block_count_matches_total_blocks"), ("retry_summary", "blocks_with_retry attempts_total attempts_no_block retry_rescued_blocks retry_exhausted_blocks"), ("watermark_params", "lsh_d lsh_gamma margin_base margin_alpha"), ("watermark_params.adaptive_gamma", "strategy profile_id")) for f in fs.split()]
+)
 _BLOCK = "ordinal block_id node_type parent_node_type block_text_hash start_line end_line entropy_units gamma_target k gamma_effective".split()
 _EVENT = "triggered compound_node_type failed_simple_count_before_cascade restored_total_blocks restored_embedded_blocks restored_failed_blocks rollback_id".split()
 _TRY = "attempt_index produced_block failure_reason".split()
@@ -140,6 +169,18 @@ UNION ALL SELECT 'replaced_block_ordinals', ledger_id, parent_pos, pos FROM ({_R
     "p3_retry_attempts": _element("ledger", "ledger_id", "retry_attempts", _es(_TRY)),
     "p3_cascade_events": _element("ledger", "ledger_id", "cascade_events", _es(_EVENT)),
     "p3_replaced_block_ordinals": _RBO,
+    "p3_samples": f"SELECT {_SAMPLE} FROM samples",
+    "p3_failure_reasons": f"SELECT record_id, e.key AS key, e.value AS value {_MAP.format(m='failure_reason_counts')}",
+    "p3_anchors": f"SELECT record_id, e.key AS key, e.value AS value {_MAP.format(m='watermark_params.adaptive_gamma.anchors')}",
+    "p3_tables": f"""
+SELECT 'samples' AS source, '' AS child, count(*) AS n FROM samples
+UNION ALL SELECT 'samples', 'blocks[]', count(*) FROM ({_element("samples", "record_id", "blocks", "1 AS x")}) HAVING count(*) > 0
+UNION ALL SELECT 'samples', 'failure_reason_counts{{}}', count(*) {_MAP.format(m='failure_reason_counts')} HAVING count(*) > 0
+UNION ALL SELECT 'samples', 'watermark_params.adaptive_gamma.anchors{{}}', count(*) {_MAP.format(m='watermark_params.adaptive_gamma.anchors')} HAVING count(*) > 0
+UNION ALL SELECT 'ledger', '', count(*) FROM ledger
+UNION ALL SELECT 'ledger', 'retry_attempts[]', count(*) FROM ({_element("ledger", "ledger_id", "retry_attempts", "1 AS x")}) HAVING count(*) > 0
+UNION ALL SELECT 'ledger', 'cascade_events[]', count(*) FROM ({_element("ledger", "ledger_id", "cascade_events", "1 AS x")}) HAVING count(*) > 0
+UNION ALL SELECT 'ledger', 'cascade_events[].replaced_block_ordinals[]', count(*) FROM ({_RBO}) HAVING count(*) > 0""",
     "p6_found": _P6,
     "p6_summary": f"SELECT field, count(*) AS n FROM ({_P6}) GROUP BY field",
 }
