@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +57,39 @@ def walk(o: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
                     yield from walk(x, path + "[].")
 
 
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?")
+
+
+def wrapped(v) -> bool:
+    """Is the value an object that says one plain value: {value: x}, and other fields only with the same text."""
+    if not isinstance(v, dict) or isinstance(v.get("value"), (dict, list, type(None))):
+        return False
+    said = v["value"] if isinstance(v["value"], str) else json.dumps(v["value"])
+    return all(x == said or x == v["value"] for x in v.values())
+
+
+def shape(v) -> str:
+    """What a value can be cast from: its type, texts of numbers and booleans and 0 and 1 being told apart; ``[x]`` for an array of one plain x."""
+    if wrapped(v):
+        return shape(v["value"])
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return "bit" if v in (0, 1) and isinstance(v, int) else "number"
+    if isinstance(v, str):
+        return "truth" if v in ("true", "false") else "digits" if _NUMBER.fullmatch(v) else "string"
+    if isinstance(v, list) and len(v) == 1 and not isinstance(v[0], (dict, list, type(None))):
+        return f"[{shape(v[0])}]"
+    return kind(v)
+
+
+def plain_walk(o: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
+    """(path, value) of all fields outside arrays, objects that say one plain value taken as that value."""
+    for k, v in o.items():
+        if isinstance(v, dict) and not wrapped(v):
+            yield from plain_walk(v, prefix + k + ".")
+        else:
+            yield prefix + k, v["value"] if isinstance(v, dict) else v
+
+
 def values(o: dict) -> dict[str, object]:
     """path -> value; a path inside an array holds the list of its elements' values, with their places."""
     out: dict[str, object] = {}
@@ -93,24 +127,30 @@ def _digest(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def footers(lines: DataFrame, file_cols: list[str], line_col: str) -> DataFrame:
-    """``(file_cols..., path, kinds)``: each file's paths and the JSON types of their non-null values, '' for the file itself."""
+def footers(lines: DataFrame, file_cols: list[str], line_col: str, shapes: bool = False) -> DataFrame:
+    """``(file_cols..., path, kinds)``: each file's paths and the JSON types of their non-null values, '' for the file itself.
+
+    With ``shapes`` also what the values of each path outside arrays can be cast from.
+    """
 
     def run(batches):
         for pdf in batches:
             seen = set()
             for row in pdf.itertuples(index=False, name=None):
                 file = row[:-1]
-                seen.add((*file, "", ""))
+                seen.add((*file, "", "", ""))
                 o = parse_object(row[-1])
                 if o is not None:
                     for path, v in walk(o):
-                        seen.add((*file, path, kind(v)))
-            yield pd.DataFrame(list(seen), columns=[*file_cols, "path", "kind"])
+                        seen.add((*file, path, kind(v), ""))
+                    for path, v in plain_walk(o) if shapes else ():
+                        seen.add((*file, path, "", shape(v)))
+            yield pd.DataFrame(list(seen), columns=[*file_cols, "path", "kind", "shape"])
 
-    schema = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in file_cols) + ", path string, kind string"
+    schema = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in file_cols) + ", path string, kind string, shape string"
     got = lines.select(*file_cols, line_col).mapInPandas(run, schema)
-    return got.groupBy(*file_cols, "path").agg(F.array_sort(F.array_remove(F.collect_set("kind"), "")).alias("kinds"))
+    sets = {"kinds": "kind"} | ({"shapes": "shape"} if shapes else {})
+    return got.groupBy(*file_cols, "path").agg(*[F.array_sort(F.array_remove(F.collect_set(c), "")).alias(n) for n, c in sets.items()])
 
 
 def lifespans(foot: DataFrame, stream: list[str], file: str, stamp: str) -> tuple[DataFrame, DataFrame]:
@@ -320,16 +360,19 @@ def _bounded(df: DataFrame, most: int, what: str) -> list:
 def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str], stream: list[str] | None = None, file: str = "file_name", stamp: str = "file_stamp", line: str = "raw_line", max_columns: int = 2000) -> DataFrame:
     """One table of all records: a column for each field under one name, cast to one type.
 
-    ``log`` is the result of ``changes`` of the same lines, ``foot`` of ``footers``. All names that renames
+    ``log`` is the result of ``changes`` of the same lines, ``foot`` of ``footers`` with shapes. All names that renames
     link, over all streams, are one field with one column: a rename links the life of the old name that ends
     with the life of the new name that begins, so that a name taken up again for another field is told apart,
     and A -> B -> A is one field. Names that stand side by side in a file stay apart. The column has the name
-    that most streams end with, then the first by name. A leaf is a path that holds a plain value or an array somewhere; a field
-    that was an object in some files and plain in others keeps its plain values in its own column. A column
-    is boolean, double or string if all its types agree, else string holding the JSON text; values of an array
-    are JSON text. Columns come from the catalogue, whose width is checked against ``max_columns``. Lines
-    that are no JSON object are left out; repeated lines are kept. ``clashes`` holds, as a JSON object, the values
-    of a record that found their column taken by another value of the record; null where there are none.
+    that most streams end with, then the first by name. Its paths stand in its metadata (``paths``).
+
+    Casts: an object that says one plain value (``value``, beside it only the same as text) is that value, and an
+    array of one plain value is that value where the field is plain elsewhere and never a longer array. A column
+    is double if all its values are numbers or texts of numbers and one is a number, boolean likewise ("true", "false",
+    0 and 1 being texts of booleans and numbers), else string; other arrays are JSON text. Columns come from the catalogue, whose
+    width is checked against ``max_columns``. Lines that are no JSON object are left out; repeated lines are kept.
+    ``clashes`` holds, as a JSON object, the values of a record that found their column taken by another value
+    of the record; null where there are none.
     """
     stream = stream or ["artifact", "stream"]
     on = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
@@ -337,7 +380,13 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
     files, spans = lifespans(foot, stream, file, stamp)
     files = materialize(files.select(*stream, file, "seq"))
     renames = log.filter("change = 'renamed' AND NOT contains(field_path, '[]') AND NOT contains(old_path, '[]')")
-    renames = materialize(renames.alias("l").join(files.alias("f"), on("l", "f", [*stream, file])).select(*[f"f.{c}" for c in stream], "l.old_path", "l.field_path", "f.seq"))
+    renames = renames.alias("l").join(files.alias("f"), on("l", "f", [*stream, file])).select(*[f"f.{c}" for c in stream], "l.old_path", "l.field_path", "f.seq")
+    # What an object says as its one plain value is the object's own field.
+    says = foot.filter("array_contains(kinds, 'object') AND size(shapes) > 0").alias("l").join(files.alias("f"), on("l", "f", [*stream, file])).select(*[f"f.{c}" for c in stream], "f.seq", "l.path")
+    for side, shift in (("field_path", 0), ("old_path", 1)):
+        here_ = says.withColumn("seq", F.col("seq") + shift)
+        renames = renames.alias("l").join(here_.alias("w"), [*on("l", "w", [*stream, "seq"]), F.col(f"l.{side}") == F.concat("w.path", F.lit(".value"))], "left").withColumn(side, F.coalesce("w.path", f"l.{side}")).select(*[f"l.{c}" for c in stream], *[side if side == c else f"l.{c}" for c in ("old_path", "field_path", "seq")])
+    renames = materialize(renames.filter("old_path <> field_path").distinct())
     named = {p for r in _bounded(renames.select("old_path", "field_path").distinct(), max_columns * 10, "renames") for p in r}
     # Lives of all paths that have or had another name somewhere, and of what lies below them.
     below = (F.col("path") == F.col("n")) | F.expr("startswith(path, n || '.')")
@@ -376,14 +425,25 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
     named_as = chains.join(F.broadcast(to), "chain").select(*stream, "path", "a", "b", "field")
     here = materialize(named_as.alias("c").join(files.alias("f"), [*on("c", "f", stream), F.col("f.seq").between(F.col("c.a"), F.col("c.b"))]).select(*[f"f.{c}" for c in [*stream, file]], "c.path", "c.field"))
 
-    at = foot.filter("path <> ''").alias("t").join(here.alias("h"), on("t", "h", [*stream, file, "path"]), "left").select(F.coalesce("h.field", "t.path").alias("path"), F.explode("t.kinds").alias("kind"))
-    # A column has at most five kinds, one of them object.
-    kinds = _bounded(at.filter("NOT contains(path, '[]') AND kind <> 'object'").distinct(), max_columns * 4, "kinds of columns")
+    at = foot.filter("path <> ''").alias("t").join(here.alias("h"), on("t", "h", [*stream, file, "path"]), "left").select(F.coalesce("h.field", "t.path").alias("path"), F.col("t.path").alias("said"), F.explode("t.shapes").alias("shape"))
+    # A column has at most six plain shapes, as many in an array of one, and other arrays.
+    shapes = _bounded(at.filter("shape <> 'object'").groupBy("path", "shape").agg(F.array_sort(F.collect_set("said")).alias("paths")), max_columns * 13, "shapes of columns")
     cols: dict[str, set] = {}
-    for r in kinds:
-        cols.setdefault(r.path, set()).add(r.kind)
+    paths: dict[str, set] = {}
+    for r in shapes:
+        cols.setdefault(r.path, set()).add(r.shape)
+        paths.setdefault(r.path, set()).update(r.paths)
     if len(cols) > max_columns:
         raise ValueError(f"{len(cols)} columns; raise max_columns")
+    opened, casts = set(), {}
+    for c, have in cols.items():
+        if "array" not in have and any(x[0] != "[" for x in have):
+            opened.add(c)
+            have = {x.strip("[]") for x in have}
+        if have <= {"number", "bit", "digits"} and have != {"digits"}:
+            casts[c] = "double"
+        elif have <= {"boolean", "bit", "truth"} and have != {"truth"}:
+            casts[c] = "boolean"
     order = sorted(cols)
     names, taken = {}, {*keep, "clashes"}
     for p in order:
@@ -405,18 +465,19 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
                 final = {x["path"]: x["field"] for x in row[-2]} if row[-2] is not None else {}
                 got: dict[str, str] = {}
                 lost: dict[str, object] = {}
-                for path, v in sorted(walk(o), key=lambda x: (final.get(x[0], x[0]) != x[0], x[0])):
-                    if v is None or isinstance(v, dict) or "[]" in path:
-                        continue
+                for path, v in sorted(plain_walk(o), key=lambda x: (final.get(x[0], x[0]) != x[0], x[0])):
                     c = final.get(path, path)
-                    if c in names:
-                        x = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-                        if got.setdefault(c, x) != x:
-                            lost[path] = v
+                    if v is None or c not in names:
+                        continue
+                    if c in opened and isinstance(v, list):
+                        v = v[0]
+                    x = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+                    if got.setdefault(c, x) != x:
+                        lost[path] = v
                 rows.append((*row[:-2], *(got.get(c) for c in order), json.dumps(lost, ensure_ascii=False) if lost else None))
             yield pd.DataFrame(rows, columns=[*keep, *(names[c] for c in order), "clashes"])
 
     schema = ", ".join([f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep] + [f"`{names[c]}` string" for c in order] + ["clashes string"])
     raw = lines.select(*keep, "alias", line).mapInPandas(read, schema)
-    cast = {frozenset(["number"]): "double", frozenset(["boolean"]): "boolean"}
-    return raw.select(*keep, *[(F.expr(f"try_cast(`{names[c]}` AS {cast[frozenset(cols[c])]})").alias(names[c]) if frozenset(cols[c]) in cast else F.col(f"`{names[c]}`")) for c in order], "clashes")
+    typed = lambda c: F.expr(f"try_cast(`{names[c]}` AS {casts[c]})") if c in casts else F.col(f"`{names[c]}`")
+    return raw.select(*keep, *[typed(c).alias(names[c], metadata={"paths": sorted(paths[c])}) for c in order], "clashes")

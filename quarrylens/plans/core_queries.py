@@ -60,12 +60,27 @@ def p4_lifespans(spark: SparkSession, d: str) -> DataFrame:
 def _one_table(artifact: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         lines = table(spark, d, "artifact_lines").filter(F.col("artifact") == artifact)
-        foot = drift.footers(lines, ["artifact", "stream", "file_name", "file_stamp"], "raw_line")
+        foot = drift.footers(lines, ["artifact", "stream", "file_name", "file_stamp"], "raw_line", shapes=True)
         return drift.consistent(lines, drift.changes(lines), foot, ["line_id", "file_name"])
 
     return run
 
 
+def _fields(artifact: str, names: dict[str, str]):
+    """Some fields of the consistent table under fixed names, each from the column that took its path."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = _one_table(artifact)(spark, d)
+        have = {p: f for f in t.schema.fields for p in f.metadata.get("paths", [])}
+        return t.select("line_id", *[(F.col(f"`{have[p].name}`") if p in have else F.lit(None)).cast(k).alias(p.rpartition(".")[2]) for p, k in names.items()])
+
+    return run
+
+
+p4_sample_fields = _fields("samples", {"total_blocks": "double", "embedded_blocks": "double", "embed_rate": "double", "alignment_summary.final_block_count": "double"})
+p4_detail_fields = _fields("details", {"z_score": "double", "p_value": "double", "hits": "double", "mode": "string", "is_watermarked": "boolean"})
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_differences(spark, d).select("run_id", "id", "field")
 
@@ -78,6 +93,11 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return p6_differences(spark, d).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_keys(spark: SparkSession, d: str) -> DataFrame:
+    """How many differences each key has."""
+    return p6_differences(spark, d).groupBy("run_id", "id").agg(F.count(F.lit(1)).alias("n_fields"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_blocks": p3_blocks,
@@ -92,9 +112,12 @@ QUERIES = {
     "p4_lifespans": p4_lifespans,
     "p4_samples": _one_table("samples"),
     "p4_details": _one_table("details"),
+    "p4_sample_fields": p4_sample_fields,
+    "p4_detail_fields": p4_detail_fields,
     "p6_found": p6_found,
     "p6_differences": p6_differences,
     "p6_summary": p6_summary,
+    "p6_keys": p6_keys,
 }
 
 
@@ -124,6 +147,27 @@ def _es(names: list[str]) -> str:
     return ", ".join(f"e.{n} AS {n}" for n in names)
 
 
+def _gathered(artifact: str, fields: dict[str, tuple[str, list[str]]]) -> str:
+    """Each field from all the names that its renames link, out of [x], {value: x} and texts."""
+    plain = lambda p: f"coalesce(json_extract_string(raw_line, '$.{p}.value'), json_extract_string(raw_line, '$.{p}[0]'), json_extract_string(raw_line, '$.{p}'))"
+    cols = ", ".join(f"try_cast(coalesce({', '.join(map(plain, ps))}) AS {k}) AS {n}" for n, (k, ps) in fields.items())
+    return f"SELECT line_id, {cols} FROM artifact_lines WHERE artifact = '{artifact}' AND json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'"
+
+
+_LIFESPANS = """
+WITH RECURSIVE w AS (
+  SELECT line_id, '' AS path, CAST(raw_line AS JSON) AS v FROM artifact_lines WHERE json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'
+  UNION ALL
+  SELECT line_id, e.p, e.x FROM (SELECT line_id, unnest(CASE json_type(v)
+    WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'p': CASE WHEN path = '' THEN k ELSE path || '.' || k END, 'x': json_extract(v, '$."' || k || '"')})
+    WHEN 'ARRAY' THEN list_filter(list_transform(json_extract(v, '$[*]'), lambda x: {'p': path || '[]', 'x': x}), lambda y: json_type(y.x) = 'OBJECT') ELSE [] END) AS e FROM w)),
+f AS (SELECT artifact, stream, file_name, row_number() OVER (PARTITION BY artifact, stream ORDER BY file_stamp NULLS FIRST, file_name) AS seq, count(*) OVER (PARTITION BY artifact, stream) AS n_files FROM (SELECT DISTINCT artifact, stream, file_name, file_stamp FROM artifact_lines)),
+k AS (SELECT f.artifact, f.stream, path, seq, n_files, coalesce(string_agg(DISTINCT kind, '|' ORDER BY kind), '') AS kinds FROM (SELECT line_id, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM w WHERE path <> '' AND path NOT LIKE '%[]') x
+  JOIN artifact_lines a USING (line_id) JOIN f ON f.artifact IS NOT DISTINCT FROM a.artifact AND f.stream IS NOT DISTINCT FROM a.stream AND f.file_name IS NOT DISTINCT FROM a.file_name GROUP BY f.artifact, f.stream, path, seq, n_files),
+s AS (SELECT *, CASE WHEN lag(seq) OVER q = seq - 1 AND lag(kinds) OVER q = kinds THEN 0 ELSE 1 END AS starts FROM k WINDOW q AS (PARTITION BY artifact, stream, path ORDER BY seq)),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY artifact, stream, path ORDER BY seq) AS island FROM s)
+SELECT artifact, stream, path, kinds, CAST(min(seq) AS INTEGER) AS first_seq, CAST(max(seq) AS INTEGER) AS last_seq, max(n_files) AS n_files FROM i GROUP BY artifact, stream, path, kinds, island"""
+
 _DETAIL = "mode is_watermarked z_score p_value independent_blocks hits semantic_prediction contract_valid alignment_ok num_positions_scored num_green_hits green_fraction lexical_z_score joint_score rationale".split()
 _ALIGN = "embedded_block_count rebuilt_block_count block_count_mismatch structure_mismatch numeric_mismatch contract_valid is_aligned status".split()
 _REAL = {"z_score", "p_value", "green_fraction", "lexical_z_score", "joint_score"}
@@ -181,6 +225,27 @@ UNION ALL SELECT 'ledger', '', count(*) FROM ledger
 UNION ALL SELECT 'ledger', 'retry_attempts[]', count(*) FROM ({_element("ledger", "ledger_id", "retry_attempts", "1 AS x")}) HAVING count(*) > 0
 UNION ALL SELECT 'ledger', 'cascade_events[]', count(*) FROM ({_element("ledger", "ledger_id", "cascade_events", "1 AS x")}) HAVING count(*) > 0
 UNION ALL SELECT 'ledger', 'cascade_events[].replaced_block_ordinals[]', count(*) FROM ({_RBO}) HAVING count(*) > 0""",
+    "p4_lifespans": _LIFESPANS,
+    "p4_sample_fields": _gathered(
+        "samples",
+        {
+            "total_blocks": ("DOUBLE", ["total_blocks", "totalBlocks", "n_blocks", "alignment_summary.total_blocks"]),
+            "embedded_blocks": ("DOUBLE", ["embedded_blocks", "EMBEDDED_BLOCKS", "blocks_embedded"]),
+            "embed_rate": ("DOUBLE", ["embed_rate", "embedRate", "rates.embed"]),
+            "final_block_count": ("DOUBLE", ["alignment_summary.final_block_count", "align.final_block_count", "alignment_summary.final_count", "final_block_count"]),
+        },
+    ),
+    "p4_detail_fields": _gathered(
+        "details",
+        {
+            "z_score": ("DOUBLE", ["z_score", "Z_SCORE", "zScore", "z", "score.z"]),
+            "p_value": ("DOUBLE", ["p_value", "pval", "score.p_value"]),
+            "hits": ("DOUBLE", ["hits", "counts.hits"]),
+            "mode": ("VARCHAR", ["mode", "detection_mode", "meta.mode"]),
+            "is_watermarked": ("BOOLEAN", ["is_watermarked", "isWatermarked", "watermarked", "prediction.is_watermarked"]),
+        },
+    ),
     "p6_found": _P6,
+    "p6_keys": f"SELECT run_id, id, count(*) AS n_fields FROM ({_P6}) GROUP BY run_id, id",
     "p6_summary": f"SELECT field, count(*) AS n FROM ({_P6}) GROUP BY field",
 }

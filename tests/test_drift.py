@@ -58,7 +58,7 @@ def test_gap_is_two_lifespans(spark):
 
 def test_consistent_table(spark):
     t = lines(spark, [{"id": "1", "n": 1, "w": 1}], [{"id": "1", "m": 1, "w": "x"}, {"id": "2", "m": 2.5, "w": None}])
-    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line")
+    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line", shapes=True)
     got = consistent(t, changes(t), foot, ["file_name", "line_no"])
     assert dict(got.dtypes)["m"] == "double" and dict(got.dtypes)["w"] == "string" and "n" not in got.columns
     assert sorted((r.file_name, r.id, r.m, r.w) for r in got.collect() if r.w) == [("f0", "1", 1.0, "1"), ("f1", "1", 1.0, "x")]
@@ -68,7 +68,7 @@ def one_table(spark, *tables):
     t = tables[0]
     for more in tables[1:]:
         t = t.unionByName(more)
-    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line")
+    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line", shapes=True)
     return consistent(t, changes(t), foot, ["stream", "file_name"])
 
 
@@ -118,8 +118,38 @@ def test_classes_of_names():
 def test_array_fields_do_not_crowd_out_columns(spark):
     wide = {"id": "1", "v": 1, "a": [{f"f{i}": i for i in range(60)}], "o": {"x": {"y": {"z": 2}}}}
     t = lines(spark, [wide])
-    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line")
+    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line", shapes=True)
     got = consistent(t, changes(t), foot, ["file_name"], max_columns=4)
     assert set(got.columns) == {"file_name", "id", "v", "a", "o__x__y__z", "clashes"}
     with pytest.raises(ValueError):
         consistent(t, changes(t), foot, ["file_name"], max_columns=3)
+
+
+def test_casts(spark):
+    files = [
+        [{"id": "1", "z": 1.5, "ok": True, "tag": "a", "list": [1, 2], "one": ["x"], "o": {"value": 1, "unit": "s"}}, {"id": "9", "z": None, "ok": None}],
+        [{"id": "2", "z": "2.5", "ok": "false", "tag": ["b"], "list": [3], "one": ["y"], "o": {"value": 2, "unit": "s"}}],
+        [{"id": "3", "z": [3.5], "ok": 1, "tag": {"value": "c", "shown": "c"}, "list": [], "one": []}],
+        [{"id": "4", "z": {"value": 4.5, "shown": "4.5"}, "ok": [0], "tag": "7", "list": 5}],
+    ]
+    got = one_table(spark, lines(spark, *files))
+    assert set(got.columns) == {"stream", "file_name", "id", "z", "ok", "tag", "list", "one", "o__value", "o__unit", "clashes"}
+    types = dict(got.dtypes)
+    assert (types["z"], types["ok"], types["tag"], types["list"], types["one"], types["o__value"]) == ("double", "boolean", "string", "string", "string", "double")
+    rows = {r.id: (r.z, r.ok, r.tag, r.list, r.one) for r in got.collect()}
+    assert rows == {"1": (1.5, True, "a", "[1, 2]", '["x"]'), "9": (None,) * 5, "2": (2.5, False, "b", "[3]", '["y"]'), "3": (3.5, True, "c", "[]", "[]"), "4": (4.5, False, "7", "5", None)}
+    assert got.schema["z"].metadata["paths"] == ["z"] and got.filter("clashes IS NOT NULL").count() == 0
+
+
+def test_opposite_renames_in_three_streams(spark):
+    tables = [
+        lines(spark, [{"id": "1", "z": 1}], [{"id": "1", "score": {"z": 1}}], [{"id": "1", "Z": 1}], stream="s"),
+        lines(spark, [{"id": "1", "Z": 2}], [{"id": "1", "z": 2}], stream="t"),
+        lines(spark, [{"id": "1", "score": {"z": 3}}], [{"id": "1", "z": {"value": 3, "shown": "3"}}], stream="u"),
+    ]
+    got = [one_table(spark, *ts) for ts in (tables, tables[::-1])]
+    assert got[0].columns == got[1].columns and len(got[0].columns) == 5
+    name = next(c for c in got[0].columns if c.lower().endswith("z"))
+    for t in got:
+        assert sorted(r[name] for r in t.collect()) == [1, 1, 1, 2, 2, 3, 3] and dict(t.dtypes)[name] == "double"
+        assert set(t.schema[name].metadata["paths"]) == {"z", "Z", "score.z"}
