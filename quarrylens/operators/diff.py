@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SIDE, _RANK, _TIE = "__side", "__rank", "__tie"
+_SIDE, _RANK, _TIE, _PART = "__side", "__rank", "__tie", "__part"
 
 
 def _common(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -104,8 +106,34 @@ def _text(arr: pa.Array) -> list:
     return [None if v is None else (v if isinstance(v, str) else repr(v)) for v in arr.to_pylist()]
 
 
-def _latest_in_batch(keys: list[str], ranked: bool):
-    """Map-side combine: of each key and copy only the latest row of an Arrow batch travels."""
+def _order(v) -> tuple:
+    """A value in a form that compares with any other of its column: null first, NaN last."""
+    return (0,) if v is None else (2,) if v != v else (1, v)
+
+
+def _order_all(cols: list[pa.Array]) -> list[tuple]:
+    return list(zip(*(map(_order, c.to_pylist()) for c in cols)))
+
+
+def split_points(key_rows: DataFrame, keys: list[str], rows_per_part: int, sample: int = 20_000) -> list[tuple]:
+    """Keys that cut both copies into ranges of about equally many keys, from a hash sample of about ``sample`` distinct keys.
+
+    There are as many ranges as ``rows_per_part`` gives, but no more than the session's shuffle partitions or three
+    for each core. Only key columns are read.
+    """
+    spark = key_rows.sparkSession
+    n = key_rows.count()
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    parts = min(-(-n // rows_per_part), most)
+    if parts < 2:
+        return []
+    picked = key_rows.filter(F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(max(1, n // sample))) == 0).distinct().toArrow()
+    order = sorted(_order_all([picked.column(k) for k in keys]))
+    return sorted({order[i * len(order) // parts] for i in range(1, parts)}) if order else []
+
+
+def _latest_in_batch(keys: list[str], ranked: bool, bounds: list[tuple]):
+    """Map-side combine: of each key and copy only the latest row of an Arrow batch travels, with the number of its range."""
 
     def run(batches):
         for b in batches:
@@ -113,12 +141,14 @@ def _latest_in_batch(keys: list[str], ranked: bool):
             pdf = head.to_pandas()
             pdf = pdf.sort_values(([_RANK] if ranked else []) + [_TIE], ascending=False, na_position="last", kind="stable")
             at = np.sort(pdf.index[~pdf.duplicated([*keys, _SIDE])].to_numpy())
-            yield b.take(pa.array(at)) if len(at) < b.num_rows else b
+            b = b.take(pa.array(at)) if len(at) < b.num_rows else b
+            part = [bisect_right(bounds, k) for k in _order_all([b.column(k) for k in keys])] if bounds else [0] * b.num_rows
+            yield b.append_column(_PART, pa.array(part, pa.int32()))
 
     return run
 
 
-def diff_tables(left: DataFrame, right: DataFrame, keys: list[str], latest: str | None = None, eps: float = 1e-9, missing: tuple[str, str] = ("missing_in_right", "missing_in_left")) -> DataFrame:
+def diff_tables(left: DataFrame, right: DataFrame, keys: list[str], latest: str | None = None, eps: float = 1e-9, missing: tuple[str, str] = ("missing_in_right", "missing_in_left"), rows_per_part: int = 25_000) -> DataFrame:
     """Rows ``(keys..., field, left_value, right_value)``: keys that one copy lacks, and fields that differ.
 
     Of several rows of a key the one with the greatest ``latest`` counts (null is the least; equal ones
@@ -128,9 +158,10 @@ def diff_tables(left: DataFrame, right: DataFrame, keys: list[str], latest: str
     struct is one of nulls), arrays as a whole. Columns are matched by name; one that only one copy has is
     compared with nulls. Null keys are keys like others. Empty copies report the other's keys as missing.
 
-    Both copies travel in one range shuffle, so they share their split points; within a partition rows are
-    sorted and merged as a stream that holds one key. A hot key shrinks before the shuffle, to one row for
-    each Arrow batch, and is never gathered.
+    Split points come from the key columns alone (``split_points``), so both copies share them and the rows
+    themselves are read once. They travel in one shuffle by range; within a partition rows are sorted and merged
+    as a stream that holds one key. A hot key shrinks before the shuffle, to one row for each Arrow batch, and
+    is never gathered.
     """
     names = list(dict.fromkeys([*left.columns, *right.columns]))
     types = {}
@@ -146,9 +177,10 @@ def diff_tables(left: DataFrame, right: DataFrame, keys: list[str], latest: str
         return df.select(*cols, *stamp).select("*", F.lit(flag).cast("byte").alias(_SIDE), (F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")).alias(_TIE))
 
     both = side(left, 0).unionByName(side(right, 1))
-    both = both.mapInArrow(_latest_in_batch(keys, bool(latest)), both.schema)
+    bounds = split_points(both.select(*[F.col(f"`{k}`") for k in keys]), keys, rows_per_part)
+    both = both.mapInArrow(_latest_in_batch(keys, bool(latest), bounds), T.StructType([*both.schema.fields, T.StructField(_PART, T.IntegerType())]))
     order = [F.col(f"`{k}`") for k in keys] + [F.col(_SIDE)] + ([F.col(_RANK).desc_nulls_last()] if latest else []) + [F.col(_TIE).desc()]
-    ranged = both.repartitionByRange(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*order)
+    ranged = both.repartitionById(len(bounds) + 1, F.col(_PART)).sortWithinPartitions(*order)
     schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(c, T.StringType()) for c in ("field", "left_value", "right_value")])
     out_names = [f.name for f in schema.fields]
     missing_right, missing_left = missing

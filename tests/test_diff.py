@@ -54,3 +54,17 @@ def test_hot_key_over_many_batches(spark):
     hot = spark.range(60_000).selectExpr("'a' AS k", "CAST(id AS DOUBLE) AS v", "timestamp_seconds(id) AS at")
     other = spark.createDataFrame([("a", 59_999.0, T[0]), ("z", 1.0, T[0])], "k string, v double, at timestamp")
     assert [(r.k, r.field) for r in diff_tables(hot, other, ["k"], latest="at").collect()] == [("z", "missing_in_left")]
+
+
+def test_ranges_share_their_split_points(spark):
+    # keys of several types, null among them, cut into many ranges; the rows are read once
+    from quarrylens.operators.diff import split_points
+
+    base = spark.range(20_000).selectExpr("if(id % 977 = 0, null, concat('k', id % 7)) AS a", "timestamp_seconds(id * 3600) AS t", "id AS v", "id AS y")
+    other = base.withColumn("v", base.v + (base.v % 1000 == 0).cast("int")).filter("v % 1500 <> 3")
+    keys = ["a", "t"]
+    assert len(split_points(base.select(*keys), keys, 500)) > 10 and split_points(base.limit(0).select(*keys), keys, 500) == []
+    got = diff_tables(base, other, keys, rows_per_part=500)
+    hour = lambda r: int(r.t.timestamp()) // 3600
+    assert sorted((hour(r), r.field) for r in got.collect()) == sorted([(i, "v") for i in range(0, 20_000, 1000)] + [(i, "missing_in_right") for i in range(3, 20_000, 1500)])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
