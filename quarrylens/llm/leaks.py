@@ -14,6 +14,7 @@ below a bound, and documents are not shuffled at all. Above it the keys of both
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.session import spread
+from quarrylens.operators.skew import hot_keys, join_unique
+from quarrylens.session import materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -37,10 +39,15 @@ class Walk:
     def __init__(self, window: int, edits: int, repetitions: int, places: int, seed: int = 11):
         self.window, self.edits, self.repetitions = window, edits, repetitions
         self.steps = 3 * window
-        rng = np.random.default_rng(seed)
-        self.salts = rng.integers(1, 2**63, size=repetitions, dtype=np.uint64)
+        each = [np.random.default_rng([seed, r]) for r in range(repetitions)]
+        self.salts = np.array([rng.integers(1, 2**63, dtype=np.uint64) for rng in each], dtype=np.uint64)
         # places early in the walk, which few windows have left by then
-        self.places = [set(rng.choice(2 * window, size=min(places, 2 * window), replace=False).tolist()) for _ in range(repetitions)]
+        self.places = [set(rng.choice(2 * window, size=min(places, 2 * window), replace=False).tolist()) for rng in each]
+
+    def only(self, rep: int) -> Walk:
+        one = object.__new__(Walk)
+        one.__dict__ = self.__dict__ | {"repetitions": 1, "salts": self.salts[rep : rep + 1], "places": self.places[rep : rep + 1]}
+        return one
 
     def keys(self, toks: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """For each repetition the key of the window at each start; toks: a 64-bit hash of each word."""
@@ -119,9 +126,16 @@ class _Index:
             order = np.argsort(key, kind="stable")
             self.sorted.append((key[order], order))
 
-    def find(self, lists: list[list[str]]) -> dict[tuple[int, int], int]:
+    def only(self, rep: int) -> _Index:
+        """The same index with one of its repetitions."""
+        one = object.__new__(_Index)
+        one.__dict__ = self.__dict__ | {"walk": self.walk.only(rep), "sorted": self.sorted[rep : rep + 1]}
+        return one
+
+    def find(self, lists: list[list[str]], edits: int | None = None) -> dict[tuple[int, int], int]:
         """(list number, item id) -> least edit distance, verified."""
         walk, w = self.walk, self.walk.window
+        edits = walk.edits if edits is None else edits
         toks, starts, owner = _lay_out(lists, w)
         found: dict[tuple[int, int], int] = {}
         if not len(starts) or not len(self.starts):
@@ -137,32 +151,75 @@ class _Index:
                 mine = None
                 for k in order[a:b].tolist():
                     pair = (doc, self.ids[self.owner[k]])
-                    if found.get(pair) == 0 or (walk.edits and (at, k) in tried):
+                    if found.get(pair) == 0 or (edits and (at, k) in tried):
                         continue
-                    if walk.edits:
+                    if edits:
                         tried.add((at, k))
                     mine = flat[s : s + w] if mine is None else mine
                     t = int(self.starts[k])
-                    d = edit_distance(mine, self.words[t : t + w], walk.edits)
-                    if d <= walk.edits and d < found.get(pair, d + 1):
+                    d = edit_distance(mine, self.words[t : t + w], edits)
+                    if d <= edits and d < found.get(pair, d + 1):
                         found[pair] = d
         return found
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = 12, edits: int = 0, repetitions: int | None = None, places: int | None = None, broadcast_bytes: int = 16 << 20, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+def edited(ws: list[str], edits: int, rng: np.random.Generator) -> list[str]:
+    """The words after ``edits`` edits at random places: words changed, left out or put in alike."""
+    out = list(ws)
+    for n, what in enumerate(rng.integers(0, 3, edits).tolist()):
+        at = int(rng.integers(0, len(out)))
+        out[at : at + (what != 1)] = [] if what == 2 and len(out) > 1 else [f"new{n}"]
+    return out
+
+
+def measured_recall(walk: Walk, edits: int, trials: int = 400, seed: int = 5) -> list[float]:
+    """The share that the first 1, 2, ... repetitions find of passages with ``edits`` edits in other text.
+
+    Passages count that have a window at most ``edits`` edits away; a word put in or left out also moves a word over
+    the window's end, so not all have.
+    """
+    rng = np.random.default_rng(seed)
+    w, said, docs = walk.window, [], []
+    while len(said) < trials:
+        t = len(docs)
+        ws = [f"{t}.{j}" for j in range(w)]
+        doc = [f"{t}:a{j}" for j in range(w)] + edited(ws, int(rng.integers(1, edits + 1)), rng) + [f"{t}:b{j}" for j in range(w)]
+        if min(edit_distance(doc[s : s + w], ws, edits) for s in range(w - edits, w + edits + 1)) == edits:
+            said.append(ws)
+            docs.append(doc)
+    out, found, index = [], set(), _Index(walk, list(enumerate(said)))
+    for rep in range(walk.repetitions):
+        one = index.only(rep)
+        found |= {d for (d, i) in one.find(docs, edits) if d == i}
+        out.append(len(found) / trials)
+    return out
+
+
+@lru_cache(maxsize=None)
+def repetitions_for(window: int, edits: int, places: int, target: float, most: int = 64) -> int:
+    """The least number of repetitions whose measured recall of windows with ``edits`` edits reaches ``target``."""
+    got = measured_recall(Walk(window, edits, most, places), edits)
+    need = next((n for n, r in enumerate(got, 1) if r >= target), None)
+    if need is None:
+        raise ValueError(f"{most} repetitions find {got[-1]:.3f} of windows of {window} words with {edits} edits; take fewer places or a lower target")
+    return need
+
+
+def leaks(docs: DataFrame, items: DataFrame, window: int = 12, edits: int = 0, target_recall: float = 0.97, places: int | None = None, broadcast_bytes: int = 16 << 20, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """``(doc_key, item_key, edits)``: documents and items with windows of ``window`` words at most ``edits`` edits apart.
 
     ``edits`` is the least number found. With edits = 0 the result is exact: all pairs that share ``window``
-    consecutive words. With edits > 0 candidates come from ``repetitions`` keys of ``places`` places each
-    and every pair returned is verified; recall grows with repetitions and falls with places. Texts are
+    consecutive words. With edits > 0 candidates come from several keys of ``places`` places each, as many as reach
+    ``target_recall`` on windows with ``edits`` edits (measured once on random words, ``repetitions_for``; windows
+    with fewer edits are found more often), and every pair returned is verified. Texts are
     read whole. Null texts and texts of fewer words give no row; repeated rows give one; an empty corpus or
     no items give an empty table. Other columns of either table do not matter.
 
     ``broadcast_bytes`` bounds what is sent to every task. It is held against the measured size of the items'
     text, and items beyond it take a join on the keys instead, with the same result.
     """
-    repetitions = repetitions or (1 if edits == 0 else 8)
     places = places or (8 if edits == 0 else 4)
+    repetitions = 1 if edits == 0 else repetitions_for(window, edits, places, target_recall)
     walk = Walk(window, edits, repetitions, places)
     docs = docs.filter(F.col(text).isNotNull()).select(doc_key, text)
     items = items.filter(F.col(text).isNotNull()).select(item_key, text)
@@ -182,11 +239,11 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, edits: int = 0, r
 
         found = spread(docs).mapInPandas(run, schema)
     else:
-        found = _joined(docs, items, walk, doc_key, item_key, text, dt, it, schema)
+        found = _joined(docs, items, walk, doc_key, item_key, text, dt, it)
     return found.groupBy(doc_key, item_key).agg(F.min("edits").alias("edits"))
 
 
-def _joined(docs, items, walk: Walk, doc_key: str, item_key: str, text: str, dt: str, it: str, schema: str) -> DataFrame:
+def _joined(docs, items, walk: Walk, doc_key: str, item_key: str, text: str, dt: str, it: str) -> DataFrame:
     """The same over a join of keys, for items that are too large to send to every task."""
 
     def windows(key: str, kt: str, df: DataFrame) -> DataFrame:
@@ -202,14 +259,22 @@ def _joined(docs, items, walk: Walk, doc_key: str, item_key: str, text: str, dt:
 
         return spread(df).mapInPandas(run, f"rep int, k bigint, `{key}` {kt}, w string").distinct()
 
-    d, i = windows(doc_key, dt, docs), windows(item_key, it, items)
-    pairs = d.withColumnRenamed("w", "dw").join(i.withColumnRenamed("w", "iw"), ["rep", "k"]).select(doc_key, item_key, "dw", "iw")
+    # Distinct windows are matched and verified once, however many texts hold them.
+    d, i = materialize(windows(doc_key, dt, docs)), windows(item_key, it, items)
+    pairs = d.select("rep", "k", F.col("w").alias("dw")).distinct().join(i.select("rep", "k", F.col("w").alias("iw")).distinct(), ["rep", "k"]).select("dw", "iw").distinct()
     if walk.edits == 0:
-        return pairs.filter("dw = iw").select(doc_key, item_key, F.lit(0).alias("edits"))
-
-    def verify(batches):
-        for pdf in batches:
-            e = [edit_distance(a.split(" "), b.split(" "), walk.edits) for a, b in zip(pdf.dw, pdf.iw)]
-            yield pdf[[doc_key, item_key]].assign(edits=pd.Series(e, dtype="int32", index=pdf.index)).query(f"edits <= {walk.edits}")
+        pairs = pairs.filter("dw = iw").withColumn("edits", F.lit(0))
+    else:
 
-    return pairs.mapInPandas(verify, schema)
+        def verify(batches):
+            for pdf in batches:
+                e = [edit_distance(a.split(" "), b.split(" "), walk.edits) for a, b in zip(pdf.dw, pdf.iw)]
+                yield pdf.assign(edits=pd.Series(e, dtype="int32", index=pdf.index)).query(f"edits <= {walk.edits}")
+
+        pairs = pairs.mapInPandas(verify, "dw string, iw string, edits int")
+    by_item = pairs.join(i.select(item_key, F.col("w").alias("iw")).distinct(), "iw").groupBy(F.col("dw").alias("w"), item_key).agg(F.min("edits").alias("edits"))
+    by_doc = d.select(doc_key, "w").distinct()
+    # a window that many documents share is split over parts
+    often = by_doc.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(often, "w", "n", by_doc.count())
+    return join_unique(by_doc, by_item, "w", hot, [doc_key]).select(doc_key, item_key, "edits")

@@ -28,6 +28,11 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(syntax.check_files(_files(spark, d)))
 
 
+def p1_json(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON files among them, each with its verdict: the grammar whose verdicts SQL can give as well."""
+    return syntax.check_files(_files(spark, d).filter("grammar = 'json' AND source IS NOT NULL")).select("record_id", "parses")
+
+
 def _values(spark: SparkSession, d: str) -> DataFrame:
     """entropy_units of blocks and samples.blocks; -1 stands for unknown and null for missing."""
     blocks = table(spark, d, "blocks").select(F.lit("blocks").alias("origin"), "node_type", "profile_id", "run_day", "entropy_units", "run_id", "id", "ordinal")
@@ -99,6 +104,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_files": p1_files,
     "p1_rates": p1_rates,
+    "p1_json": p1_json,
     "p2_percentiles": p2_percentiles,
     "p2_summary": p2_summary,
     "p2_merged": p2_merged,
@@ -141,7 +147,13 @@ WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\
 g AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 10)) AS i FROM t WHERE len(ws) >= 12)),
 f AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.side = 'd' AND i.side = 'i')"""
 
+_JSON = """
+SELECT record_id, json_valid(CASE WHEN code_form = 'completion' THEN coalesce(prompt, '') ELSE '' END || generated_code) AS parses
+FROM (SELECT record_id, file_path, code_form, prompt, generated_code FROM samples UNION ALL SELECT record_id, file_path, code_form, prompt, generated_code FROM negative_corpus)
+WHERE generated_code IS NOT NULL AND regexp_matches(lower(file_path), '\\.json$')"""
+
 ORACLES = {
+    "p1_json": _JSON,
     "p7_found": _SHARED + " SELECT doc_id, item_id FROM f",
     "p7_items": _SHARED + " SELECT e.item_id, e.suite, count(f.doc_id) AS n_docs FROM eval_items e LEFT JOIN f USING (item_id) GROUP BY ALL",
     "p2_summary": f"WITH {_VALUES} SELECT origin, node_type, profile_id, run_day, bin, count(*) AS n FROM e GROUP BY ALL",

@@ -34,8 +34,6 @@ def first_error(text: str, language: str) -> tuple[int, int, str] | None:
         seen = text.replace("\r\n", "\n").replace("\r", "\n")
         at = min(max(e.at, 0), len(seen))
         return seen.count("\n", 0, at) + 1, at - (seen.rfind("\n", 0, at) + 1) + 1, e.what
-    except RecursionError:
-        return 1, 1, "nested too deeply"
     return None
 
 

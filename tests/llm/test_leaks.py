@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from quarrylens.llm.leaks import edit_distance, leaks, words
+from quarrylens.llm.leaks import Walk, edit_distance, edited, leaks, measured_recall, repetitions_for, words
 
 DOC, ITEM = "doc_id bigint, text string, item_id string", "item_id bigint, suite string, text string"
 
@@ -46,6 +47,38 @@ def test_edited_passages_are_found(spark, limit):
     assert len(got) >= 0.9 * len(items)
 
 
+@pytest.mark.parametrize("window, edits", [(24, 1), (24, 2), (24, 3), (16, 2)])
+def test_recall_by_edits_against_all_pairs(spark, window, edits):
+    # words changed, left out and put in; the pairs to be found come from comparing all windows
+    rng = np.random.default_rng(window * 10 + edits)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 3000, window))) for i in range(250)]
+    docs = [(i, " ".join([f"p{j}" for j in range(9)] + edited(t.split(), int(rng.integers(1, edits + 1)), rng) + [f"q{j}" for j in range(9)])) for i, t in items]
+    want = set()
+    for (i, t), (_, x) in zip(items, docs):
+        ws = x.split()
+        if min(edit_distance(ws[s : s + window], t.split(), edits) for s in range(len(ws) - window + 1)) <= edits:
+            want.add((i, i))
+    got = {(d, i) for d, i, _ in run(spark, docs, items, window=window, edits=edits)}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 80
+
+
+def test_repetitions_follow_the_target():
+    few, many = repetitions_for(24, 3, 4, 0.8), repetitions_for(24, 3, 4, 0.99)
+    assert few < many
+    got = measured_recall(Walk(24, 3, many, 4), 3)
+    assert got[many - 1] >= 0.99 > got[many - 2] and got == sorted(got)
+    with pytest.raises(ValueError):
+        repetitions_for(24, 10, 24, 0.99)
+
+
+def test_a_window_that_many_share(spark):
+    # boilerplate of most documents and of several items, over the join of keys
+    boiler = " ".join(f"b{j}" for j in range(12))
+    docs = [(i, f"x{i} {boiler} y{i}") for i in range(11_000)]
+    got = run(spark, docs, [(1, boiler), (2, f"z {boiler}"), (3, boiler.upper())], broadcast_bytes=0)
+    assert got == [(i, j, 0) for i in range(11_000) for j in (1, 2, 3)]
+
+
 def test_nothing(spark):
     assert run(spark, [], [(1, "a " * 12)]) == [] and run(spark, [(1, "a " * 12)], []) == []
 
