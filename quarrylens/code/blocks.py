@@ -85,18 +85,27 @@ def statement_blocks(text: str | None, recover: bool = False) -> list[Block]:
 
 
 # Entropy of syntax node types in bits; types not listed here or below have 0.1.
-ENTROPY = dict(
-    boolean_operator=0.959, for_statement=0.7095, function_definition=0.504, comparison_operator=0.4944, identifier=0.4909, conditional_expression=0.4487, if_statement=0.4348, while_statement=0.4266,
-    binary_operator=0.4026, default_parameter=0.3584, module=0.3571, comment=0.3333, call=0.3198, block=0.3116, dictionary_comprehension=0.3062, elif_clause=0.2992, assignment=0.2971,
-    expression_statement=0.2817, parenthesized_expression=0.2809, list_comprehension=0.2779, argument_list=0.2251, slice=0.2214, if_clause=0.1979, string_content=0.1949, generator_expression=0.1901,
-    else_clause=0.168, float=0.1672, for_in_clause=0.1556, return_statement=0.1539, integer=0.1522, not_operator=0.1496, subscript=0.1225, tuple=0.1105, augmented_assignment=0.107,
-    set_comprehension=0.1048, string=0.0881, expression_list=0.0749, attribute=0.0688, list=0.0569, set=0.0467, parameters=0.0451, unary_operator=0.0375, class_definition=0.0317,
-    pattern_list=0.0259, keyword_argument=0.0187, string_start=0.017, pair=0.0145, string_end=0.0133, import_from_statement=0.008, dotted_name=0.0077,
-) | {"lambda": 0.0716, "yield": 0.1138}
+ENTROPY = {
+    "boolean_operator": 0.959, "for_statement": 0.7095, "function_definition": 0.504, "comparison_operator": 0.4944, "identifier": 0.4909,
+    "conditional_expression": 0.4487, "if_statement": 0.4348, "while_statement": 0.4266, "binary_operator": 0.4026, "default_parameter": 0.3584,
+    "module": 0.3571, "comment": 0.3333, "call": 0.3198, "block": 0.3116, "dictionary_comprehension": 0.3062, "elif_clause": 0.2992,
+    "assignment": 0.2971, "expression_statement": 0.2817, "parenthesized_expression": 0.2809, "list_comprehension": 0.2779, "argument_list": 0.2251,
+    "slice": 0.2214, "if_clause": 0.1979, "string_content": 0.1949, "generator_expression": 0.1901, "else_clause": 0.168, "float": 0.1672,
+    "for_in_clause": 0.1556, "return_statement": 0.1539, "integer": 0.1522, "not_operator": 0.1496, "subscript": 0.1225, "tuple": 0.1105,
+    "augmented_assignment": 0.107, "set_comprehension": 0.1048, "string": 0.0881, "expression_list": 0.0749, "attribute": 0.0688, "list": 0.0569,
+    "set": 0.0467, "parameters": 0.0451, "unary_operator": 0.0375, "class_definition": 0.0317, "pattern_list": 0.0259, "keyword_argument": 0.0187,
+    "string_start": 0.017, "pair": 0.0145, "string_end": 0.0133, "import_from_statement": 0.008, "dotted_name": 0.0077, "lambda": 0.0716,
+    "yield": 0.1138,
+}
 # Node types and tokens of entropy 0.
-SILENT = frozenset(
-    "= def : ( ) , . class return [ ] if < and in > for + += != while - == % // true false else >= import import_statement / * list_splat lambda_parameters or ; <= break_statement break elif ** -= from not ^ as aliased_import \\ *= not_in { } & | << ~ continue continue_statement <<= /= tuple_pattern >> |= is none line_continuation dictionary except_clause except try_statement try escape_sequence >>= //= %= pass_statement pass del delete_statement is_not".split()
-)
+SILENT = frozenset([
+    "=", "def", ":", "(", ")", ",", ".", "class", "return", "[", "]", "if", "<", "and", "in", ">", "for", "+", "+=", "!=", "while", "-", "==", "%",
+    "//", "true", "false", "else", ">=", "import", "import_statement", "/", "*", "list_splat", "lambda_parameters", "or", ";", "<=",
+    "break_statement", "break", "elif", "**", "-=", "from", "not", "^", "as", "aliased_import", "\\", "*=", "not_in", "{", "}", "&", "|", "<<",
+    "~", "continue", "continue_statement", "<<=", "/=", "tuple_pattern", ">>", "|=", "is", "none", "line_continuation", "dictionary",
+    "except_clause", "except", "try_statement", "try", "escape_sequence", ">>=", "//=", "%=", "pass_statement", "pass", "del", "delete_statement",
+    "is_not",
+])
 UNKNOWN = 0.1
 
 
@@ -418,13 +427,14 @@ def parse_status(df: DataFrame, key: str, code: str) -> DataFrame:
     return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, parse_status string, n_lines int, n_parsed int")
 
 
-def contracts(df: DataFrame, key: str, code: str) -> DataFrame:
+def contracts(df: DataFrame, key: str, code: str, text: bool = False) -> DataFrame:
     """``(key, ordinal, block_id, node_type, parent_node_type, block_text_hash, start_line, end_line, entropy_units, parse_status)`` of simple statements.
 
-    All blocks of a source are in one call, so parents are looked up there and nothing is shuffled.
+    All blocks of a source are in one call, so parents are looked up there and nothing is shuffled. With ``text``
+    the statement's ``source`` stands in place of its hash and entropy.
     """
     kt = df.schema[key].dataType.simpleString()
-    cols = [key, "ordinal", "block_id", "node_type", "parent_node_type", "block_text_hash", "start_line", "end_line", "entropy_units", "parse_status"]
+    cols = [key, "ordinal", "block_id", "node_type", "parent_node_type", *(["source"] if text else ["block_text_hash"]), "start_line", "end_line", *([] if text else ["entropy_units"]), "parse_status"]
 
     def run(batches):
         for pdf in batches:
@@ -433,10 +443,22 @@ def contracts(df: DataFrame, key: str, code: str) -> DataFrame:
                 blocks = statement_blocks(t, True)
                 for n, b in enumerate(x for x in blocks if x.block_type == "simple"):
                     parent = "module" if b.parent_id is None else blocks[b.parent_id].node_type
-                    rows.append((k, n, str(b.block_id), b.node_type, parent, hashlib.sha256(b.text.encode()).hexdigest(), b.start_line, b.end_line, entropy_units(b.text), recovered(t)[2]))
+                    said = (b.text,) if text else (hashlib.sha256(b.text.encode()).hexdigest(),)
+                    units = () if text else (entropy_units(b.text),)
+                    rows.append((k, n, str(b.block_id), b.node_type, parent, *said, b.start_line, b.end_line, *units, recovered(t)[2]))
             yield pd.DataFrame(rows, columns=cols)
 
-    return spread(df.select(key, code)).mapInPandas(run, f"`{key}` {kt}, ordinal int, block_id string, node_type string, parent_node_type string, block_text_hash string, start_line int, end_line int, entropy_units int, parse_status string")
+    types = {"ordinal": "int", "start_line": "int", "end_line": "int", "entropy_units": "int"}
+    return spread(df.select(key, code)).mapInPandas(run, ", ".join(f"`{c}` {kt if c == key else types.get(c, 'string')}" for c in cols))
+
+
+def with_gamma(contracts_: DataFrame, units: str, anchors: list, d: int) -> DataFrame:
+    """``contracts_`` with gamma_target, k and gamma_effective by a schedule over entropy, quantised for d planes; 0 where the entropy is null."""
+    from quarrylens.functions.marks import quantize, schedule
+
+    target, k, effective = quantize(schedule(F.col(units), anchors), F.lit(d))
+    there = F.col(units).isNotNull()
+    return contracts_.withColumns({"gamma_target": F.when(there, target).otherwise(F.lit(0.0)), "k": F.when(there, k).otherwise(F.lit(0)), "gamma_effective": F.when(there, effective).otherwise(F.lit(0.0))})
 
 
 def select_tree(blocks: list[tuple[int, int | None, float]]) -> tuple[float, list[int]]:

@@ -68,3 +68,20 @@ def nearest_rank(df: DataFrame, groups: list[str], value: str, ps: list[float])
     cum = _counted(df, groups, value)
     rank = lambda p: F.greatest(F.expr(f"(total_n * {round(p * 1_000_000)} + 999999) div 1000000"), F.lit(1)) - 1
     return cum.groupBy(*groups).agg(F.max("total_n").alias("n"), *[_at_rank(rank(p)).alias(_name(p)) for p in ps])
+
+
+def calibrate(corpus: DataFrame, score: str, fpr: float) -> DataFrame:
+    """``(fpr, fpr_threshold, n_samples, n_scored)``: the score that the share ``fpr`` of the scored rows exceeds.
+
+    Rows without a score (null, not a number, infinite) count as samples only; with none scored the threshold is 0. An empty
+    corpus is an error at run time.
+    """
+    if not 0 < fpr < 1:
+        raise ValueError("fpr must lie between 0 and 1")
+    s = corpus.select(F.when(F.abs(score) < float("inf"), F.col(score).cast("double")).alias("s"))
+    p = f"p{round((1 - fpr) * 100, 6):g}"
+    top = linear_percentiles(s.filter("s IS NOT NULL"), [], "s", [1 - fpr])
+    n = s.agg(F.count(F.lit(1)).alias("n_samples"), F.count("s").alias("n_scored"))
+    n = n.withColumn("n_samples", F.when(F.col("n_samples") > 0, F.col("n_samples")).otherwise(F.raise_error(F.lit("empty corpus"))))
+    # both sides have one row at most
+    return n.join(F.broadcast(top), how="left").select(F.lit(fpr).alias("fpr"), F.coalesce(F.col(p), F.lit(0.0)).alias("fpr_threshold"), "n_samples", "n_scored")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens.code import blocks, texts
 from quarrylens.code.rules import RULES
 from quarrylens.functions import marks, stats
-from quarrylens.operators import relate
+from quarrylens.operators import cumulative, relate
 from quarrylens.plans.stat_queries import r6
 from quarrylens.session import spread
 from quarrylens.sources.tables import table
@@ -25,7 +25,11 @@ def query(f):
     return f
 
 
-def _python(spark: SparkSession, d: str, name: str = "negative_corpus") -> DataFrame:
+def _python(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """The Python sources of both tables, or of those named; their record ids are unique over both."""
+    if not names:
+        return _python(spark, d, "samples").unionByName(_python(spark, d, "negative_corpus"))
+    (name,) = names
     code = F.when(F.col("code_form") == "completion", F.concat(F.coalesce("prompt", F.lit("")), F.col("generated_code"))).otherwise(F.col("generated_code"))
     return table(spark, d, name).filter(F.lower("file_path").endswith(".py")).select("record_id", "id", code.alias("code"))
 
@@ -70,7 +74,7 @@ def code_tree_selection(spark: SparkSession, d: str) -> DataFrame:
 @query
 def code_references(spark: SparkSession, d: str) -> DataFrame:
     """Candidates whose normal form is that of a reference of the same task: a key made first, then an equi-join."""
-    refs = _python(spark, d).select("id", texts.normalize("code").alias("form")).filter("form <> ''").distinct().withColumn("is_correct", F.lit(True))
+    refs = _python(spark, d, "negative_corpus").select("id", texts.normalize("code").alias("form")).filter("form <> ''").distinct().withColumn("is_correct", F.lit(True))
     c = _python(spark, d, "samples").select("record_id", "id", texts.normalize("code").alias("form"))
     return c.join(refs, ["id", "form"], "left").select("record_id", "id", F.coalesce("is_correct", F.lit(False)).alias("is_correct"))
 
@@ -119,8 +123,10 @@ def _variants(spark: SparkSession, d: str, mode: str) -> DataFrame:
 
 @query
 def code_triplets(spark: SparkSession, d: str) -> DataFrame:
-    v = _variants(spark, d, "positive").select("record_id", F.col("transformed_source").alias("positive"))
-    return texts.triplets(_python(spark, d).join(v, "record_id").select("record_id", "code", "positive"), "record_id", "code")
+    """Half of the negatives are negative variants of the same source where it has any."""
+    t, v = _python(spark, d).select("record_id", "code"), F.col("transformed_source")
+    hard = _variants(spark, d, "negative").select("record_id", v.alias("negative"))
+    return texts.triplets(t.join(_variants(spark, d, "positive").select("record_id", v.alias("positive")), "record_id"), "record_id", "code", hard)
 
 
 @query
@@ -134,6 +140,16 @@ def code_lexical_replay(spark: SparkSession, d: str) -> DataFrame:
     return g.select("record_id", "num_positions_scored", "num_green_hits", r6(stats.z_score(F.col("num_green_hits"), n / 2, n / 4), "lexical_z_score"))
 
 
+_LETTER, _BLANK = r"\p{L}\p{N}_", r"\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ORACLES["code_continuation_diversity"] = f"""
+WITH c AS (SELECT record_id, CASE WHEN code_form = 'completion' THEN coalesce(prompt, '') || generated_code ELSE generated_code END AS code FROM (SELECT record_id, code_form, prompt, generated_code, file_path FROM samples UNION ALL SELECT record_id, code_form, prompt, generated_code, file_path FROM negative_corpus) WHERE lower(file_path) LIKE '%.py'),
+l AS (SELECT record_id, regexp_extract_all(code, '[{_LETTER}]+|[^{_LETTER}{_BLANK}]|[{_BLANK}]+') AS ts FROM c WHERE code IS NOT NULL),
+t AS (SELECT record_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM l),
+p AS (SELECT record_id, token, list(token) OVER (PARTITION BY record_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prev FROM t),
+n AS (SELECT record_id, prev, count(DISTINCT token) AS n FROM p GROUP BY record_id, prev)
+SELECT record_id, count(*) AS n_prefixes, max(n) AS most FROM n GROUP BY record_id"""
+
+
 @query
 def code_continuation_diversity(spark: SparkSession, d: str) -> DataFrame:
     """How many tokens follow each three-token prefix within a source."""
@@ -168,8 +184,8 @@ def code_event_matches(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_closed_statements(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the stateful closure of statements while tokens arrive."""
-    t = code_tokens(spark, d).select(F.col("record_id").cast("string").alias("doc_id"), "pos", "token")
-    return closing.close_batch(t)
+    t = _python(spark, d).select(F.col("record_id").cast("string").alias("doc_id"), F.col("code").alias("text"))
+    return closing.close_texts(t)
 
 
 @query
@@ -179,38 +195,71 @@ def code_features(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_code_body").alias("n_in_body"), F.count_if("structure_mask").alias("n_safe"))
 
 
+def _scores(sources: DataFrame, key: str) -> DataFrame:
+    """``(key, parse_status, m, hits, z)`` of sources ``(key, code)``: statements, embeddings of a stand-in model, signatures, valid regions, z-score."""
+    from quarrylens.operators.embed import HashEmbedder, embed
+
+    secret, planes_ = "audit-key", marks.planes("audit-key", 4, 64)
+    # a contract names its statement's parent, so nothing is shuffled up to the signatures
+    simple = blocks.contracts(sources, key, "code", text=True).select(key, "parent_node_type", "source", "parse_status")
+    e = embed(simple, "source", HashEmbedder()).withColumn("pr", marks.projections(F.col("embedding"), planes_))
+    e = e.select(key, "parent_node_type", "parse_status", marks.signature_of(F.col("pr")).alias("signature"))
+    parents = ["module", *sorted(set(blocks.COMPOUND.values()))]
+    valid = marks.region_table(sources.sparkSession, secret, parents, 4, [8]).select("parent_node_type", "signature", F.lit(1).alias("hit"))
+    g = e.join(F.broadcast(valid), ["parent_node_type", "signature"], "left").groupBy(key, "parse_status").agg(F.count(F.lit(1)).alias("m"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
+    return g.withColumn("z", stats.z_score(F.col("hits"), F.col("m") * 0.5, F.col("m") * 0.25))
+
+
 @query
-def code_robustness(spark: SparkSession, d: str) -> DataFrame:
-    """The mean share of simple statements whose text survives each perturbation."""
-    from pyspark.sql.types import DoubleType
+def code_detect(spark: SparkSession, d: str) -> DataFrame:
+    """From source text to a decision."""
+    z = _scores(_python(spark, d), "record_id")
+    return z.select("record_id", "m", "hits", r6(F.col("z"), "z"), (F.col("z") >= 2).alias("decision"), "parse_status")
 
-    @F.pandas_udf(DoubleType())
-    def kept(before: pd.Series, after: pd.Series) -> pd.Series:
-        def share(x, y):
-            a, b = ([n.text for n in blocks.statement_blocks(t) if n.block_type == "simple"] for t in (x, y))
-            return len(set(a) & set(b)) / len(set(a)) if a else None
 
-        return pd.Series([share(x, y) for x, y in zip(before, after)], dtype="float64")
+@query
+def code_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold of 5 % false positives over the negative corpus, scored from its sources; sources without statements have no score."""
+    corpus = _python(spark, d, "negative_corpus")
+    z = _scores(corpus, "record_id").select("record_id", "z")
+    got = cumulative.calibrate(corpus.select("record_id").join(z, "record_id", "left"), "z", 0.05)
+    return got.select("fpr", r6(F.col("fpr_threshold"), "fpr_threshold"), "n_samples", "n_scored")
 
+
+@query
+def code_robustness(spark: SparkSession, d: str) -> DataFrame:
+    """The mean change of the score under each perturbation, against the source as it stands, and the share of sources it changes."""
     t = _python(spark, d).filter("code IS NOT NULL")
-    names = list(texts.PERTURBATIONS)
-    wide = t.select(*[kept("code", texts.perturb(F.col("code"), k)).alias(k) for k in names]).agg(*[F.avg(F.when(~F.isnan(f"`{k}`"), F.col(f"`{k}`"))).alias(k) for k in names])
-    return wide.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{k}', round(`{k}`, 6)" for k in names) + ") AS (perturbation, kept)"))
+    kinds = list(texts.PERTURBATIONS)
+    texts_ = F.array(F.struct(F.lit("baseline").alias("kind"), F.col("code").alias("code")), *[F.struct(F.lit(k).alias("kind"), texts.perturb(F.col("code"), k).alias("code")) for k in kinds])
+    each = t.select("record_id", F.explode(texts_).alias("p")).select(F.concat_ws("/", F.col("p.kind"), F.col("record_id").cast("string")).alias("key"), "p.code")
+    z = _scores(each, "key").select(F.split_part("key", F.lit("/"), F.lit(1)).alias("kind"), F.split_part("key", F.lit("/"), F.lit(2)).alias("record_id"), "z")
+    base = F.max(F.when(F.col("kind") == "baseline", F.col("z"))).over(W.partitionBy("record_id"))
+    delta = z.withColumn("delta", F.col("z") - base).filter("kind <> 'baseline' AND abs(delta) < double('inf')")
+    return delta.groupBy(F.col("kind").alias("perturbation")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("delta"), "mean_score_delta"), F.count_if(F.col("delta") != 0).alias("n_moved"))
+
+
+_ANCHORS = [("p10", 0.95), ("p50", 0.75), ("p75", 0.55), ("p90", 0.35), ("p95", 0.25)]
+
+
+def _contracts_with_gamma(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Contracts rebuilt from source, with gamma by the quantiles of the first complete entropy profile and 4 planes."""
+    b = blocks.contracts(_python(spark, d, name), "record_id", "code")
+    p = table(spark, d, "entropy_profile").filter("quantiles_units IS NOT NULL").agg(F.min_by("quantiles_units", "profile_id").alias("q"))  # one row
+    anchors = [(F.col("q")[n].cast("double"), g) for n, g in _ANCHORS]
+    return blocks.with_gamma(b.join(F.broadcast(p)), "entropy_units", anchors, 4).drop("q")
 
 
 @query
-def code_detect(spark: SparkSession, d: str) -> DataFrame:
-    """From source text to a decision: statements, embeddings of a stand-in model, signatures, valid regions, z-score."""
-    from quarrylens.operators.embed import HashEmbedder, embed
+def code_contracts_gamma(spark: SparkSession, d: str) -> DataFrame:
+    return _contracts_with_gamma(spark, d, "samples")
 
-    key, planes_ = "audit-key", marks.planes("audit-key", 4, 64)
-    b = code_blocks(spark, d)
-    p = b.select("record_id", F.col("block_id").alias("parent_id"), F.col("node_type").alias("p"))
-    simple = b.filter("block_type = 'simple'").join(p, ["record_id", "parent_id"], "left").select("record_id", F.coalesce("p", F.lit("module")).alias("parent_node_type"), "source", "parse_status")
-    e = embed(simple, "source", HashEmbedder()).withColumn("pr", marks.projections(F.col("embedding"), planes_))
-    e = e.select("record_id", "parent_node_type", "parse_status", marks.signature_of(F.col("pr")).alias("signature"))
-    parents = ["module", *sorted(set(blocks.COMPOUND.values()))]
-    valid = marks.region_table(spark, key, parents, 4, [8]).select("parent_node_type", "signature", F.lit(1).alias("hit"))
-    g = e.join(F.broadcast(valid), ["parent_node_type", "signature"], "left").groupBy("record_id", "parse_status").agg(F.count(F.lit(1)).alias("m"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
-    z = stats.z_score(F.col("hits"), F.col("m") * 0.5, F.col("m") * 0.25)
-    return g.select("record_id", "m", "hits", r6(z, "z"), (z >= 2).alias("decision"), "parse_status")
+
+@query
+def code_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The stored contracts of each sample against those rebuilt from its source: does the text still say what was embedded?"""
+    fields = [f.partition(":")[0] for f in relate._CONTRACTS.split("struct<")[1].rstrip(">").split(",")]
+    built = _contracts_with_gamma(spark, d, "samples").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("built"))
+    s = table(spark, d, "samples").filter(F.lower("file_path").endswith(".py")).select("record_id", "adaptive_mode", "blocks")
+    x = s.join(built, "record_id", "left").select("record_id", relate.align(F.col("blocks"), F.col("built"), F.col("adaptive_mode")).alias("x"))
+    return x.select("record_id", "x.embedded_block_count", "x.rebuilt_block_count", F.size("x.structure_mismatches").alias("n_structure"), F.size("x.numeric_mismatches").alias("n_numeric"), "x.contract_valid", "x.is_aligned", "x.status")

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrylens.code.blocks import Block, statement_blocks
+from quarrylens.session import spread
 
 
 class Closer:
-    """Emits each statement once: a simple one when its line has ended in a text that parses, a compound one when first seen."""
+    """Emits each statement once: a simple one when its line has ended in a text that parses, a compound one when first seen.
 
-    def __init__(self, text: str = "", emitted: list[str] | None = None):
-        self.text, self.emitted = text, set(emitted or [])
+    Only what stands after the last closed statement at the top level is parsed again, so a document costs its length
+    times that of its longest top-level statement and not its length squared, and its state holds no more than
+    that. ``base`` is the number of lines and of statements before that text.
+    """
+
+    def __init__(self, text: str = "", emitted: list[str] | None = None, base: tuple[int, int] = (0, 0)):
+        self.text, self.emitted, self.base = text, set(emitted or []), base
 
     @staticmethod
     def _key(b: Block) -> str:
@@ -26,19 +33,33 @@ class Closer:
         if "\n" not in token:
             return []
         # whole lines only: the last, open one may still grow
-        return self._new(statement_blocks(self.text[: self.text.rfind("\n") + 1]))
+        end = self.text.rfind("\n") + 1
+        blocks = statement_blocks(self.text[:end])
+        out = self._new(blocks)
+        # All before the last statement at the top level is closed for good: no later line can join it.
+        top = [b for b in blocks if b.depth == 0]
+        if len(top) > 1 and top[-1].start_line > top[-2].end_line and "\r" not in self.text:
+            last = top[-1]
+            self.text = self.text.split("\n", last.start_line - 1)[-1]
+            self.base = (self.base[0] + last.start_line - 1, self.base[1] + last.block_id)
+            self.emitted = {self._key(b) for b in self._placed(statement_blocks(self.text[: self.text.rfind("\n") + 1]))}
+        return out
 
     def flush(self) -> list[Block]:
         return self._new(statement_blocks(self.text))
 
+    def _placed(self, blocks: list[Block]) -> list[Block]:
+        lines, n = self.base
+        return [replace(b, start_line=b.start_line + lines, end_line=b.end_line + lines, block_id=b.block_id + n) for b in blocks]
+
     def _new(self, blocks: list[Block]) -> list[Block]:
-        fresh = [b for b in blocks if self._key(b) not in self.emitted]
+        fresh = [b for b in self._placed(blocks) if self._key(b) not in self.emitted]
         self.emitted |= {self._key(b) for b in fresh}
         return [b for b in fresh if b.block_type == "simple"] + [b for b in fresh if b.block_type == "compound"]
 
 
 OUT = "doc_id string, node_type string, block_type string, source string, start_line int, end_line int, at_end boolean"
-STATE = "text string, emitted array<string>, last int"
+STATE = "text string, emitted array<string>, lines int, statements int"
 
 
 def close_statements(tokens: DataFrame, idle_ms: int = 60_000) -> DataFrame:
@@ -48,38 +69,51 @@ def close_statements(tokens: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, emitted, _ = state.get if state.exists else ("", [], 0)
-        c = Closer(text, list(emitted))
+        text, emitted, *base = state.get if state.exists else ("", [], 0, 0)
+        c = Closer(text, list(emitted), tuple(base))
         rows, done = [], state.hasTimedOut
         for b in c.flush() if done else []:
             rows.append((key[0], b.node_type, b.block_type, b.text, b.start_line, b.end_line, True))
         if not done:
-            for _, r in pd.concat(list(batches)).sort_values("pos").iterrows():
-                rows += [(key[0], b.node_type, b.block_type, b.text, b.start_line, b.end_line, False) for b in c.feed(r.token)]
-                if r["last"]:
+            tokens = pd.concat(list(batches)).sort_values("pos")
+            for token, last in zip(tokens["token"], tokens["last"]):
+                rows += [(key[0], b.node_type, b.block_type, b.text, b.start_line, b.end_line, False) for b in c.feed(token)]
+                if last:
                     rows += [(key[0], b.node_type, b.block_type, b.text, b.start_line, b.end_line, True) for b in c.flush()]
                     done = True
         if done:
             state.remove()
         else:
-            state.update((c.text, sorted(c.emitted), len(c.text)))
+            state.update((c.text, sorted(c.emitted), *c.base))
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["doc_id", "node_type", "block_type", "source", "start_line", "end_line", "at_end"])
 
     return tokens.groupBy("doc_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _fold(doc: str, tokens: Iterable[str]) -> list[tuple]:
+    c, rows = Closer(), []
+    for t in tokens:
+        rows += [(doc, b.node_type, b.block_type, b.text, b.start_line, b.end_line, False) for b in c.feed(t)]
+    return rows + [(doc, b.node_type, b.block_type, b.text, b.start_line, b.end_line, True) for b in c.flush()]
+
+
+_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+
+
 def close_batch(tokens: DataFrame) -> DataFrame:
-    """The same over a table: one fold a document."""
+    """The same over a table of tokens: one fold a document."""
+    return tokens.groupBy("doc_id").applyInPandas(lambda pdf: pd.DataFrame(_fold(pdf.doc_id.iloc[0], pdf.sort_values("pos").token), columns=_COLUMNS), OUT)
+
+
+def close_texts(texts: DataFrame) -> DataFrame:
+    """The same over a table ``(doc_id string, text)`` of whole texts, line by line and without a shuffle; null texts have none."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, rows, doc = Closer(), [], pdf.doc_id.iloc[0]
-        for t in pdf.sort_values("pos").token:
-            rows += [(doc, b.node_type, b.block_type, b.text, b.start_line, b.end_line, False) for b in c.feed(t)]
-        rows += [(doc, b.node_type, b.block_type, b.text, b.start_line, b.end_line, True) for b in c.flush()]
-        return pd.DataFrame(rows, columns=["doc_id", "node_type", "block_type", "source", "start_line", "end_line", "at_end"])
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([r for k, t in zip(pdf.doc_id, pdf.text) if t is not None for r in _fold(k, t.splitlines(keepends=True))], columns=_COLUMNS)
 
-    return tokens.groupBy("doc_id").applyInPandas(fold, OUT)
+    return spread(texts.select("doc_id", "text")).mapInPandas(run, OUT)
 
 
 def ingest_new(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):

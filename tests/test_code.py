@@ -120,7 +120,7 @@ def test_variants():
 def test_normal_form_and_perturbations():
     assert texts.normal_form("x=1 # c") == texts.normal_form("x = 1") and texts.normal_form(" def ( ") == "def (" and texts.normal_form(None) != "x"
     code = "def f(a):\n    b = a\n    return b\n"
-    assert "b_renamed" in texts.rename_local(code) and texts.light_rewrite(code).count("__value") == 2
+    assert "b_renamed" in texts.rename_local(code) and texts.light_rewrite(code).count("__value") == 2 and "    b = a\n" in texts.light_rewrite(code)
     assert texts.add_comment(texts.add_comment(code)) == texts.add_comment(code) and texts.add_comment(" ") == " "
     assert all(f("def (") .endswith("def (") for f in texts.PERTURBATIONS.values())
 
@@ -228,3 +228,64 @@ def test_sources_that_do_not_parse_keep_their_prefix(spark):
     rows = sorted((r.k, r.block_id, r.source, r.parse_status) for r in blocks.explode_blocks(df, "k", "code").collect())
     assert [r[1:] for r in rows if r[0] == "cut"] == [(0, "import os", "prefix"), (1, "def f(a):\n    b = a", "prefix"), (2, "b = a", "prefix")]
     assert {r[0] for r in rows} == {"whole", "cut", "body", "fault", "open"} == {r.k for r in blocks.contracts(df, "k", "code").collect()} == {r.k for r in texts.explode_features(df, "k", "code").collect()}
+
+
+def test_perturbations_keep_what_the_code_does():
+    code = "def f(a, *, k=1):\n    # note\n    total = a + k; é = 'é' + str(total)\n    def g(x):\n        return total + x\n    if a: return (g(a),\n            total)\n    return [y for y in range(total)], é\n"
+    for change in (texts.rename_local, texts.light_rewrite, texts.reformat, texts.add_comment):
+        new = change(code)
+        assert new != code
+        for a in (0, 3):
+            got = []
+            for text in (code, new):
+                space = {}
+                exec(text, space)
+                got.append(space["f"](a, k=2))
+            assert got[0] == got[1]
+    assert texts.rename_local(code).count("total_renamed") == 5 and "# note" in texts.rename_local(code)
+    assert texts.light_rewrite(code).count("return __value") == 3
+    # a parameter, a name an inner scope binds too, a global or an import are no local variable of the function alone
+    for same in ("def f(b):\n    b = 1\n", "def f():\n    b = 1\n    g = lambda b: b\n    g = 2\n    return g\n", "def f():\n    global b\n    b = 1\n", "def f():\n    import b\n    b = 1\n", "x = 1\n", "def ("):
+        assert "b_renamed" not in texts.rename_local(same)
+    assert texts.rename_local("def f():\n    b = 1\n    b_renamed = 2\n    return b + b_renamed\n").count("b_renamed_") == 2
+
+
+def test_closing_parses_only_what_is_open():
+    import random
+
+    from quarrylens.code.blocks import statement_blocks
+    from quarrylens.streaming.closing import Closer
+
+    class Naive(Closer):  # parses the whole prefix at each line end
+        def feed(self, token):
+            self.text += token
+            return self._new(statement_blocks(self.text[: self.text.rfind("\n") + 1])) if "\n" in token else []
+
+    rnd = random.Random(8)
+    parts = ["x = 1\n", "if x:\n    y = 2\n", "else:\n    y = 3\n", "def f(a):\n    return a\n", "@dec\nclass C:\n    z = 1\n\n    def m(self):\n        pass\n", "'''é\nb'''\n", "a = (1,\n  2)\n", "for i in x: print(i)\n", "try:\n    a()\nexcept E:\n    pass\n", "\n", "# c\n", "x = 1; y = 2\n"]
+    for _ in range(60):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25)))
+        a, b = Closer(), Naive()
+        said = lambda ks: [(k.node_type, k.text, k.start_line, k.end_line, k.block_id) for k in ks]
+        for t in text.splitlines(keepends=True):
+            assert said(a.feed(t)) == said(b.feed(t))
+        assert said(a.flush()) == said(b.flush())
+    long = Closer()
+    for n in range(3000):
+        long.feed(f"v{n} = {n}\n")
+    assert len(long.text) < 100 and len(long.emitted) < 5
+
+
+def test_hard_negatives(spark):
+    rows = [(g, f"code {g}", f"pos {g} {i}") for g in range(40) for i in range(50)]
+    anchors = spark.createDataFrame(rows, "g int, code string, positive string")
+    hard = spark.createDataFrame([(g, f"neg {g} {i}") for g in range(0, 40, 2) for i in range(7)], "g int, negative string")
+    got = sorted(map(tuple, texts.triplets(anchors, "g", "code", hard, 0.5).collect()))
+    assert len(got) == len(rows) and got == sorted(map(tuple, texts.triplets(anchors, "g", "code", hard, 0.5).collect()))
+    for anchor, _, negative, kind in got:
+        assert negative.startswith("neg " + anchor.split()[1] + " ") if kind == "hard" else negative.startswith("code") and negative != anchor
+    share = sum(k == "hard" for *_, k in got) / (len(rows) / 2)
+    assert 0.4 < share < 0.6 and len({n for *_, n, k in got if k == "hard"}) > 130
+    assert {r.kind for r in texts.triplets(anchors, "g", "code", hard, 0.0).collect()} == {"other"}
+    one = texts.triplets(anchors.filter("g = 0"), "g", "code", hard, 1.0).collect()
+    assert len(one) == 50 and {r.kind for r in one} == {"hard"}
