@@ -39,39 +39,55 @@ STRUCTURE = ["ordinal", "block_id", "node_type", "parent_node_type", "block_text
 NUMERIC = ["entropy_units", "gamma_target", "k", "gamma_effective"]
 
 
-def align(embedded: Column, rebuilt: Column) -> Column:
+_CONTRACTS = "array<struct<ordinal:int,block_id:string,node_type:string,parent_node_type:string,block_text_hash:string,start_line:int,end_line:int,entropy_units:int,gamma_target:double,k:int,gamma_effective:double>>"
+
+
+def align(embedded: Column, rebuilt: Column, mode: Column) -> Column:
     """Comparison of two contract lists place by place, over the places both have.
 
-    A struct of both sizes, the number of places that differ in structure and in numbers (missing numbers
-    are 0), and the status: aligned, block_count_mismatch, structure_mismatch or numeric_mismatch, the first that
-    holds in the order count, structure, numbers. Null lists are empty.
+    A struct: both counts, ``block_count_mismatch``, ``structure_mismatch`` (a count or a structural field differs),
+    ``numeric_mismatch``, the lists of mismatches (ordinal, field, embedded, rebuilt) in the order of places and
+    fields, ``contract_valid`` (for mode adaptive all must agree, for any other mode the structure),
+    ``is_aligned`` and ``status``: aligned, structure_mismatch, numeric_mismatch or structure_and_numeric_mismatch.
+    Null gamma_target, k and gamma_effective are 0; otherwise null equals null only. Null lists are empty.
     """
-    e, r = (F.coalesce(c, F.array().cast("array<struct<ordinal:int,block_id:string,node_type:string,parent_node_type:string,block_text_hash:string,start_line:int,end_line:int,entropy_units:int,gamma_target:double,k:int,gamma_effective:double>>")) for c in (embedded, rebuilt))
+    e, r = (F.coalesce(c, F.array().cast(_CONTRACTS)) for c in (embedded, rebuilt))
     n = F.least(F.size(e), F.size(r))
     e2, r2 = F.slice(e, F.lit(1), n), F.slice(r, F.lit(1), n)
 
-    def differs(fields: list[str], zero: bool) -> Column:
+    def list_of(fields: list[str], kind: str, zero: tuple[str, ...]) -> Column:
         def one(x: Column, y: Column) -> Column:
-            out = F.lit(False)
+            parts = []
             for f in fields:
-                a, b = x[f], y[f]
-                if zero:
-                    a, b = F.coalesce(a.cast("double"), F.lit(0.0)), F.coalesce(b.cast("double"), F.lit(0.0))
-                out = out | ~a.eqNullSafe(b)
-            return out
+                a, b = x[f].cast(kind), y[f].cast(kind)
+                if f in zero:
+                    a, b = F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))
+                said = F.struct(F.coalesce(y["ordinal"], x["ordinal"]).alias("ordinal"), F.lit(f).alias("field"), a.alias("embedded"), b.alias("rebuilt"))
+                parts.append(F.when(~a.eqNullSafe(b), said))
+            return F.array_compact(F.array(*parts))
 
-        return F.size(F.filter(F.zip_with(e2, r2, one), lambda d: d))
+        return F.flatten(F.zip_with(e2, r2, one))
 
-    s, m = differs(STRUCTURE, False), differs(NUMERIC, True)
+    s, m = list_of(STRUCTURE, "string", ()), list_of(NUMERIC, "double", ("gamma_target", "k", "gamma_effective"))
     count = F.size(e) != F.size(r)
-    status = F.when(count, "block_count_mismatch").when(s > 0, "structure_mismatch").when(m > 0, "numeric_mismatch").otherwise("aligned")
-    return F.struct(F.size(e).alias("embedded_blocks"), F.size(r).alias("rebuilt_blocks"), s.alias("structure_mismatches"), m.alias("numeric_mismatches"), status.alias("status"))
+    said = F.struct(F.lit(None).cast("int").alias("ordinal"), F.lit("block_count").alias("field"), F.size(e).cast("string").alias("embedded"), F.size(r).cast("string").alias("rebuilt"))
+    s = F.when(count, F.concat(F.array(said), s)).otherwise(s)
+    bad_s, bad_m = F.size(s) > 0, F.size(m) > 0
+    status = F.when(bad_s & bad_m, "structure_and_numeric_mismatch").when(bad_s, "structure_mismatch").when(bad_m, "numeric_mismatch").otherwise("aligned")
+    valid = F.when(mode.eqNullSafe("adaptive"), ~bad_s & ~bad_m).otherwise(~bad_s)
+    return F.struct(
+        F.size(e).alias("embedded_block_count"), F.size(r).alias("rebuilt_block_count"), count.alias("block_count_mismatch"), bad_s.alias("structure_mismatch"), bad_m.alias("numeric_mismatch"),
+        s.alias("structure_mismatches"), m.alias("numeric_mismatches"), valid.alias("contract_valid"), (~bad_s & ~bad_m).alias("is_aligned"), status.alias("status"),
+    )
 
 
 def first_seen(df: DataFrame, by: list[str], order: list[str], eligible: Column | None = None) -> DataFrame:
     """The first row of each key in order, over eligible rows only: one that is not eligible does not count as seen."""
     rows = df if eligible is None else df.filter(eligible)
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("__n = 1").drop("__n")
+    rest = [c for c in df.columns if c not in by]
+    # aggregated, so that a hot key shrinks before the shuffle; a null comes first, as it does in a sort
+    place = F.struct(*[x for o in order for x in (F.col(o).isNotNull(), F.col(o))])
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), place).alias("__r")).select(*by, "__r.*").select(*df.columns)
 
 
 def prefix_window(value: str, by: list[str], order: str, width: int) -> Column:
@@ -84,14 +100,22 @@ def left_pad(values: Column, width: int, fill) -> Column:
 
 
 def ordinal_report(df: DataFrame, keys: list[str], ordinal: str, expected: Column) -> DataFrame:
-    """``(keys..., expected, missing, out_of_range, repeated)``: how the ordinals of a key differ from 0 .. expected - 1.
+    """``(keys..., expected, n_missing, gaps, missing, out_of_range, repeated)``: how the ordinals of a key differ from 0 .. expected - 1.
 
-    ``expected`` is an aggregate. Null ordinals are left out. Only distinct ordinals are held, one array a key.
+    ``gaps`` holds what is missing as ranges (first, last), which take no more room than the ordinals there are;
+    ``missing`` lists each, so leave it unselected where ``expected`` may be wrong and huge: it is made only if it is
+    read. ``expected`` is an aggregate. Null ordinals are left out. Only distinct ordinals are held, one array a key.
     """
     per = df.groupBy(*keys, ordinal).agg(F.count(F.lit(1)).alias("__n"), expected.alias("__e"))
-    got = per.groupBy(*keys).agg(F.max("__e").alias("expected"), F.collect_set(ordinal).alias("__s"), F.sort_array(F.collect_set(F.when((F.col("__n") > 1) & F.col(ordinal).isNotNull(), F.col(ordinal)))).alias("repeated"))
-    want = F.when(F.col("expected") > 0, F.sequence(F.lit(0), F.col("expected") - 1)).otherwise(F.array().cast("array<int>"))
-    return got.select(*keys, "expected", F.array_sort(F.array_except(want, "__s")).alias("missing"), F.array_sort(F.array_except("__s", want)).alias("out_of_range"), "repeated")
+    got = per.groupBy(*keys).agg(F.max("__e").alias("expected"), F.sort_array(F.collect_set(ordinal)).alias("__s"), F.sort_array(F.collect_set(F.when((F.col("__n") > 1) & F.col(ordinal).isNotNull(), F.col(ordinal)))).alias("repeated"))
+    inside = lambda x: (x >= 0) & (x < F.col("expected"))
+    got = got.withColumn("__in", F.filter("__s", inside))
+    top = F.greatest(F.coalesce("expected", F.lit(0)), F.lit(0))
+    one = lambda x: F.array(x.cast("int"))
+    gaps = F.zip_with(F.concat(one(F.lit(-1)), "__in"), F.concat("__in", one(top)), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    got = got.withColumn("gaps", F.filter(gaps, lambda g: g["first"] <= g["last"]))
+    missing = F.flatten(F.transform("gaps", lambda g: F.sequence(g["first"], g["last"])))
+    return got.select(*keys, "expected", (top - F.size("__in")).alias("n_missing"), "gaps", missing.alias("missing"), F.filter("__s", lambda x: ~inside(x)).alias("out_of_range"), "repeated")
 
 
 def seeded_split(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
@@ -99,7 +123,7 @@ def seeded_split(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFr
 
     By the rank of a hash only where the exact count matters; here each row decides by itself, without shuffle.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") / 2**32
     return df.withColumn("split", F.when(u < ratio, "train").otherwise("eval"))
 
 

@@ -60,19 +60,28 @@ def compare_deltas(spark: SparkSession, d: str) -> DataFrame:
     return got.select("run_id", "id", (F.round("z_delta", 6) + F.lit(0.0)).alias("z_delta"), "blocks_delta", "hits_delta", "flip", F.concat_ws(",", "flags").alias("flags"))
 
 
-_VERSIONS = """WITH v AS (SELECT run_id, id, list_filter(coalesce(arg_min(blocks, record_id), []), lambda b: TRUE) AS a, coalesce(arg_max(blocks, record_id), []) AS b FROM (SELECT * FROM samples WHERE blocks IS NOT NULL) GROUP BY ALL)"""
-_S = " OR ".join(f"z[1].{f} IS DISTINCT FROM z[2].{f}" for f in relate.STRUCTURE)
-_N = " OR ".join(f"coalesce(CAST(z[1].{f} AS DOUBLE), 0) <> coalesce(CAST(z[2].{f} AS DOUBLE), 0)" for f in relate.NUMERIC)
-
-
-@query(f"""{_VERSIONS}, z AS (SELECT run_id, id, len(a) AS na, len(b) AS nb, list_zip(a[1:least(len(a), len(b))], b[1:least(len(a), len(b))]) AS z FROM v),
-c AS (SELECT run_id, id, na, nb, len(list_filter(z, lambda z: {_S})) AS s, len(list_filter(z, lambda z: {_N})) AS m FROM z)
-SELECT run_id, id, CAST(na AS INTEGER) AS embedded_blocks, CAST(nb AS INTEGER) AS rebuilt_blocks, CAST(s AS INTEGER) AS structure_mismatches, CAST(m AS INTEGER) AS numeric_mismatches,
-CASE WHEN na <> nb THEN 'block_count_mismatch' WHEN s > 0 THEN 'structure_mismatch' WHEN m > 0 THEN 'numeric_mismatch' ELSE 'aligned' END AS status FROM c""")
+_VERSIONS = """WITH v AS (SELECT run_id, id, arg_min(blocks, record_id) AS a, arg_max(blocks, record_id) AS b, arg_max(adaptive_mode, record_id) AS mode FROM (SELECT *, 1 AS one FROM samples WHERE blocks IS NOT NULL) GROUP BY ALL)"""
+_SAID = "coalesce(CAST(coalesce(z[2].ordinal, z[1].ordinal) AS VARCHAR), '')"
+_S = ", ".join(f"CASE WHEN z[1].{f} IS DISTINCT FROM z[2].{f} THEN {_SAID} || ':{f}:' || coalesce(CAST(z[1].{f} AS VARCHAR), '') || ':' || coalesce(CAST(z[2].{f} AS VARCHAR), '') END" for f in relate.STRUCTURE)
+_N = ", ".join(f"CASE WHEN {x.format(1)} IS DISTINCT FROM {x.format(2)} THEN {_SAID} || ':{f}' END" for f in relate.NUMERIC for x in [("z[{}]." + f) if f == "entropy_units" else "coalesce(CAST(z[{}]." + f + " AS DOUBLE), 0)"])
+
+
+@query(f"""{_VERSIONS}, z AS (SELECT *, len(a) AS na, len(b) AS nb, list_zip(a[1:least(len(a), len(b))], b[1:least(len(a), len(b))]) AS z FROM v),
+c AS (SELECT run_id, id, mode, na, nb, flatten(list_transform(z, lambda z: list_filter([{_S}], lambda x: x IS NOT NULL))) AS s, flatten(list_transform(z, lambda z: list_filter([{_N}], lambda x: x IS NOT NULL))) AS m FROM z),
+e AS (SELECT *, na <> nb OR len(s) > 0 AS bs, len(m) > 0 AS bm FROM c)
+SELECT run_id, id, CAST(na AS INTEGER) AS embedded_block_count, CAST(nb AS INTEGER) AS rebuilt_block_count, na <> nb AS block_count_mismatch, bs AS structure_mismatch, bm AS numeric_mismatch,
+array_to_string(list_concat(CASE WHEN na <> nb THEN [':block_count:' || na || ':' || nb] ELSE [] END, s), '|') AS structure, array_to_string(m, '|') AS numbers,
+CASE WHEN mode = 'adaptive' THEN NOT bs AND NOT bm ELSE NOT bs END AS contract_valid, NOT bs AND NOT bm AS is_aligned,
+CASE WHEN bs AND bm THEN 'structure_and_numeric_mismatch' WHEN bs THEN 'structure_mismatch' WHEN bm THEN 'numeric_mismatch' ELSE 'aligned' END AS status FROM e""")
 def join_positional(spark: SparkSession, d: str) -> DataFrame:
-    """The blocks of a sample's first delivery against those of its last, place by place."""
-    v = table(spark, d, "samples").filter("blocks IS NOT NULL").groupBy("run_id", "id").agg(F.min_by("blocks", "record_id").alias("a"), F.max_by("blocks", "record_id").alias("b"))
-    return v.select("run_id", "id", relate.align(F.col("a"), F.col("b")).alias("x")).select("run_id", "id", "x.*")
+    """The blocks of a sample's first delivery against those of its last, place by place, with the lists of mismatches."""
+    named = F.when(F.col("adaptive_mode").isNotNull(), F.col("record_id"))
+    v = table(spark, d, "samples").filter("blocks IS NOT NULL").groupBy("run_id", "id").agg(F.min_by("blocks", "record_id").alias("a"), F.max_by("blocks", "record_id").alias("b"), F.max_by("adaptive_mode", named).alias("mode"))
+    x = v.select("run_id", "id", relate.align(F.col("a"), F.col("b"), F.col("mode")).alias("x")).select("run_id", "id", "x.*")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    structure = F.transform("structure_mismatches", lambda s: F.concat_ws(":", text(s["ordinal"]), s["field"], text(s["embedded"]), text(s["rebuilt"])))
+    numbers = F.transform("numeric_mismatches", lambda s: F.concat_ws(":", text(s["ordinal"]), s["field"]))
+    return x.withColumn("structure", F.array_join(structure, "|")).withColumn("numbers", F.array_join(numbers, "|")).drop("structure_mismatches", "numeric_mismatches")
 
 
 @query("""WITH b AS (SELECT run_id, id, ordinal, any_value(k) AS k, any_value(gamma_effective) AS g FROM blocks GROUP BY ALL)
@@ -86,10 +95,11 @@ def join_contracts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger").select("ledger_id", "run_id", "sample_id", "block_ordinal").join(b, ["run_id", "sample_id", "block_ordinal"], "left").select("ledger_id", F.when(F.col("k") > 0, F.col("k")).alias("k"), "gamma_effective")
 
 
-@query("SELECT DISTINCT s.run_id, s.id FROM samples s WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.run_id = s.run_id AND l.sample_id = s.id)")
+@query("SELECT DISTINCT s.run_id, s.id FROM samples s WHERE s.failed_blocks > 0 AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.run_id = s.run_id AND l.sample_id = s.id AND NOT coalesce(l.final_outcome.embedded, FALSE))")
 def join_sidecar(spark: SparkSession, d: str) -> DataFrame:
-    """Samples without any ledger row."""
-    return relate.unprocessed(table(spark, d, "samples").select("run_id", "id").distinct(), table(spark, d, "ledger").select("run_id", F.col("sample_id").alias("id")), ["run_id", "id"])
+    """Samples that state failed blocks of which the ledger, their sidecar, holds none."""
+    failed = table(spark, d, "ledger").filter(~F.coalesce("final_outcome.embedded", F.lit(False))).select("run_id", F.col("sample_id").alias("id"))
+    return relate.unprocessed(table(spark, d, "samples").filter("failed_blocks > 0").select("run_id", "id").distinct(), failed, ["run_id", "id"])
 
 
 # Windows and order
@@ -142,7 +152,7 @@ def sort_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "samples").groupBy("run_id").agg(s("dataset").alias("datasets"), s("profile_id").alias("p")).select("run_id", "datasets", F.when(F.size("p") > 0, F.array_join("p", ",")).alias("profiles"))
 
 
-@query()
+@query("SELECT record_id, CASE WHEN CAST('0x' || substr(md5('0:' || CAST(record_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.8 THEN 'train' ELSE 'eval' END AS split FROM samples")
 def sort_split(spark: SparkSession, d: str) -> DataFrame:
     return relate.seeded_split(table(spark, d, "samples").select("record_id"), "record_id", 0.8)
 
@@ -223,7 +233,10 @@ def mark_detect(spark: SparkSession, d: str) -> DataFrame:
     return h.select("label", "m", "hits", r6(z, "z"), (z >= 2).alias("decision"))
 
 
-@query()
+_PADS = [bytes(b ^ x for b in KEY.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query(f"SELECT parent_node_type, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(parent_node_type)))) AS mac FROM (SELECT DISTINCT parent_node_type FROM blocks WHERE parent_node_type IS NOT NULL)")
 def mark_hmac(spark: SparkSession, d: str) -> DataFrame:
     """Keyed seeds of the parent types, from SHA-2 alone; tested against Python's hmac."""
     return table(spark, d, "blocks").select("parent_node_type").distinct().filter("parent_node_type IS NOT NULL").select("parent_node_type", marks.hmac_sha256(KEY, F.col("parent_node_type")).alias("mac"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -18,6 +21,8 @@ def session(app: str = "quarrylens", cores: int | str = 8, **conf: str) -> Spark
         "spark.driver.memory": "12g",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints go with the frames that hold them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for k, v in (base | conf).items():
@@ -36,24 +41,36 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset and the session is local, a temporary one that goes with the process."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not (sc.master or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarrylens-"))
+    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    if set_ is not None:
+        return set_
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir().rsplit("/", 1)[0]
+    if not (sc.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="quarrylens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
-    A temporary folder is made only where that setting is unset and the session is local, as in tests.
-    """
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+# A node of a plan that a shuffle has put out; a path or a column may have such a name, but does not begin a line of the plan.
+_SHUFFLED = re.compile(r"(?m)^[\s:+\-|]*(?:\*\(\d+\) )?(?:Exchange|ShuffleQueryStage|AQEShuffleRead)\b")
+
+
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Repartition only where the scan yields fewer partitions than the cores need.
 
@@ -61,7 +78,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     the extra shuffle never grows with the data. What comes out of a shuffle is left alone too: it is spread
     already, and counting its partitions would run it.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if _SHUFFLED.search(df._jdf.queryExecution().executedPlan().toString()):
         return df
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -110,3 +110,9 @@ def typed(variant: Column, path: str, kind: str, low: float | None = None, high:
     if low is not None:
         out = F.when(out >= low, out)
     return out if high is None else F.when(out <= high, out)
+
+
+def allowed(line: Column, names: list[str]) -> Column:
+    """The fields of a JSON object that are in the list, as a map of JSON values; empty where the line is no object."""
+    have = F.coalesce(F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.map_filter(have, lambda k, v: k.isin(names))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions import marks, stats
-from quarrylens.operators import cumulative, lifecycle, rank, relate
+from quarrylens.operators import cumulative, lifecycle, rank, regress, relate
 
 
 def one(spark, *cols):
@@ -136,3 +136,43 @@ def test_cumulative_over_groups(spark):
     for g in (None, 1, 2):
         mine = sorted((r.v, r.before_n, r.total_n) for r in rows if r.g == g)
         assert [b for _, b, _ in mine] == list(range(len(mine))) and {t for _, _, t in mine} == {len(mine)}
+
+
+def test_a_wrong_expected_count_fills_nothing(spark):
+    df = spark.createDataFrame([("a", 0, 10**9), ("a", 2, 10**9), ("b", None, 0), ("c", 5, None)], "k string, o int, e int")
+    got = {r.k: (r.n_missing, [tuple(g) for g in r.gaps], r.out_of_range) for r in relate.ordinal_report(df, ["k"], "o", F.max("e")).drop("missing").collect()}
+    assert got == {"a": (10**9 - 2, [(1, 1), (3, 10**9 - 1)], []), "b": (0, [], []), "c": (0, [], [])}
+
+
+def test_first_seen_keeps_the_row(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", None, "z"), (None, 3, "u"), (None, 2, "v")], "k string, o int, v string")
+    assert sorted(map(tuple, relate.first_seen(df, ["k"], ["o"]).collect()), key=repr) == sorted([("a", None, "z"), (None, 2, "v")], key=repr)
+    assert sorted(map(tuple, relate.first_seen(df, ["k"], ["o"], F.col("v") > "v").collect()), key=repr) == [("a", None, "z")]
+
+
+def test_calibration(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,), (float("inf"),), (float("nan"),)], "z double")
+    assert tuple(cumulative.calibrate(df, "z", 0.5).first()) == (0.5, 2.0, 6, 3)
+    assert tuple(cumulative.calibrate(df.filter("z IS NULL"), "z", 0.01).first()) == (0.01, 0.0, 1, 0)
+    with pytest.raises(Exception, match="empty corpus"):
+        cumulative.calibrate(df.limit(0), "z", 0.01).collect()
+
+
+def test_alignment_by_mode(spark):
+    block = "struct<ordinal:int,block_id:string,node_type:string,parent_node_type:string,block_text_hash:string,start_line:int,end_line:int,entropy_units:int,gamma_target:double,k:int,gamma_effective:double>"
+    b = lambda o, t="x", k=None: (o, str(o), t, "module", "h", 1, 1, 5, None, k, 0.0)
+    df = spark.createDataFrame([("same", [b(0)], [b(0, k=0)], "adaptive"), ("number", [b(0)], [b(0, k=3)], "adaptive"), ("fixed", [b(0)], [b(0, k=3)], "fixed"), ("type", [b(0)], [b(0, "y")], None), ("count", [b(0), b(1)], [b(0, "y", 2)], "adaptive"), ("none", None, [], None)], f"n string, a array<{block}>, b array<{block}>, mode string")
+    got = {r.n: r.x for r in df.select("n", relate.align(F.col("a"), F.col("b"), F.col("mode")).alias("x")).collect()}
+    assert {n: (x.status, x.contract_valid, x.is_aligned) for n, x in got.items()} == {
+        "same": ("aligned", True, True), "number": ("numeric_mismatch", False, False), "fixed": ("numeric_mismatch", True, False),
+        "type": ("structure_mismatch", False, False), "count": ("structure_and_numeric_mismatch", False, False), "none": ("aligned", True, True),
+    }
+    assert [tuple(m) for m in got["count"].structure_mismatches] == [(None, "block_count", "2", "1"), (0, "node_type", "x", "y")] and [tuple(m) for m in got["count"].numeric_mismatches] == [(0, "k", 0.0, 2.0)]
+
+
+def test_whole_numbers_of_loose_values(spark):
+    lines = [('{"rescued_blocks": 1, "retry_summary": {"a": "5", "b": 2.9, "c": "x", "d": null}}', '{"rescued_blocks": "7", "retry_summary": {"a": 6, "e": true}, "failure_reason_counts": {"r": " -3 "}}'), ('{"rescued_blocks": [1]}', '{"retry_summary": 3}')]
+    df = spark.createDataFrame(lines, "x string, y string").select(regress.route_one(F.try_parse_json("x"), F.try_parse_json("y")).alias("r"))
+    a, b = (r.r for r in df.collect())
+    assert (a.rescued_blocks_delta, a.unrescued_blocks_delta, a.retry_summary, a.cascade_summary, a.failure_reason_counts) == (6, None, {"a_delta": 1, "b_delta": -2, "e_delta": 1}, {}, {"r": -3})
+    assert (b.rescued_blocks_delta, b.retry_summary) == (None, {})
