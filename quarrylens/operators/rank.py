@@ -58,17 +58,21 @@ def best_f1(df: DataFrame, score: str, positive: str, lo: float, hi: float, step
     return tall.agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("f1", -F.col("i"))).alias("b")).select("b.*")
 
 
-def retrieval_ranks(queries: DataFrame, candidates: DataFrame, key: str, vec: str, truth: str, part_rows: int = 50_000, block: int = 4096) -> DataFrame:
+def retrieval_ranks(queries: DataFrame, candidates: DataFrame, key: str, vec: str, truth: str, part_rows: int = 50_000, block: int = 4096, most_queries: int = 1_000_000) -> DataFrame:
     """``(key, truth, similarity, rank)``: the rank of each query's true candidate among all, by cosine; ties do not hurt.
 
     ``queries`` has key, vec and truth, the key of its candidate; ``candidates`` has key and vec. A stated query
     set against all rows: queries go out in parts of about ``part_rows``, each a pass over the candidates in
     which blocks of queries meet Arrow batches in matrix products; nothing is shuffled but one count a query.
-    Queries whose candidate is missing, and null vectors, give no row.
+    Queries whose candidate is missing, and null vectors, give no row. More than ``most_queries`` are an error,
+    since a part at a time stands on the driver and every part is a pass.
     """
     queries = queries.select(key, truth, vec).filter(F.col(vec).isNotNull())
     candidates = candidates.select(key, vec).filter(F.col(vec).isNotNull())
-    parts = max(1, -(-queries.count() // part_rows))
+    n = queries.count()
+    if n > most_queries:
+        raise ValueError(f"{n} queries; raise most_queries, each {part_rows} of which take a pass over the candidates")
+    parts = max(1, -(-n // part_rows))
     out = None
     for p in range(parts):
         rows = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p).collect()

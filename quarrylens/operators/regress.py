@@ -99,3 +99,9 @@ def report(left: DataFrame, right: DataFrame, by: list[str], key: str, order: st
     zero = {n: F.coalesce(n, F.lit(0)) for n in ("n_incomplete", "total_samples", "n_detection_lost", "n_z_score_drop", "n_block_growth")}
     out = out.withColumns(zero | {"detection_loss_ids": F.coalesce("detection_loss_ids", F.lit(""))})
     return out.withColumn("comparable_details", F.col("n_incomplete") == 0)
+
+
+def preferred(sources: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """(value, origin): the first source with a value, and its name; null and ``missing`` where none has one."""
+    origin = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in sources], F.lit("missing"))
+    return F.coalesce(*[c for _, c in sources]), origin

@@ -27,6 +27,18 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], value: str, defau
     return left.drop(value).join(r, keys, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
+def must_match(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``left`` with ``value`` of the one ``right`` row of its key; a key that ``right`` lacks is an error at run time.
+
+    Empty texts and nulls are no keys and so have no match.
+    """
+    r = right.select(*keys, value).withColumn("__there", F.lit(True))
+    got = left.drop(value).join(r, keys, "left")
+    said = F.concat(F.lit("no reference for "), F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))
+    ok = F.when(F.col("__there").isNotNull() & (F.length(F.concat_ws("", *[F.col(k).cast("string") for k in keys])) > 0), F.col(value)).otherwise(F.raise_error(said).cast(right.schema[value].dataType))
+    return got.withColumn(value, ok).drop("__there")
+
+
 def key_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys..., side)``: left_only, right_only or both, each key once."""
     a = left.select(*keys).distinct().withColumn("__l", F.lit(True))

@@ -121,6 +121,14 @@ def _variants(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return texts.explode_variants(_python(spark, d), "record_id", "code", mode)
 
 
+@query
+def code_transform_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of each kind of rewriting: the sources, those with any variant, and the variants."""
+    n = _python(spark, d).filter("code IS NOT NULL").agg(F.count(F.lit(1)).alias("n_sources"))
+    got = code_variants(spark, d).groupBy("sample_type", "record_id").agg(F.count(F.lit(1)).alias("n")).groupBy("sample_type").agg(F.count(F.lit(1)).alias("n_transformed"), F.sum("n").alias("n_variants"))
+    return got.join(F.broadcast(n)).select("sample_type", "n_sources", "n_transformed", "n_variants")  # one row
+
+
 @query
 def code_triplets(spark: SparkSession, d: str) -> DataFrame:
     """Half of the negatives are negative variants of the same source where it has any."""
@@ -132,10 +140,7 @@ def code_triplets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def code_lexical_replay(spark: SparkSession, d: str) -> DataFrame:
     """Green hits of the first sight of each n-gram of safe tokens; the vocabulary is a token's hash bucket."""
-    t = code_tokens(spark, d).withColumn("tid", marks.hash_feature(F.col("token"), 1024)).withColumn("prev", relate.prefix_window("tid", ["record_id"], "pos", 3))
-    seen = relate.first_seen(t.withColumn("ngram", F.concat_ws(",", F.transform("prev", lambda x: x.cast("string")), F.col("tid").cast("string"))), ["record_id", "ngram"], ["pos"], F.col("safe"))
-    green = F.pmod(F.xxhash64(F.lit("audit-key"), "ngram"), F.lit(2))
-    g = seen.groupBy("record_id").agg(F.count(F.lit(1)).alias("num_positions_scored"), F.sum(green).alias("num_green_hits"))
+    g = texts.lexical_replay(_python(spark, d), "record_id", "code", "audit-key")
     n = F.col("num_positions_scored")
     return g.select("record_id", "num_positions_scored", "num_green_hits", r6(stats.z_score(F.col("num_green_hits"), n / 2, n / 4), "lexical_z_score"))
 

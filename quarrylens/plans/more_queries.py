@@ -79,13 +79,16 @@ def set_ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "samples").select("record_id", kinds.alias("k")).filter(F.size("k") > 0).select("record_id", F.array_join("k", ",").alias("node_types"))
 
 
-@query("""WITH s AS (SELECT run_id, id, arg_max(watermark_params.lsh_d, record_id) AS d FROM samples GROUP BY ALL)
-SELECT d.run_id, d.id, coalesce(s.d, 4) AS lsh_d, CASE WHEN s.d IS NOT NULL THEN 'sample' ELSE 'missing' END AS origin FROM (SELECT DISTINCT run_id, id FROM details) d LEFT JOIN s ON s.run_id = d.run_id AND s.id = d.id""")
+@query("""WITH s AS (SELECT run_id, id, arg_max(watermark_params.lsh_d, record_id) AS d FROM samples GROUP BY ALL), m AS (SELECT run_id, max(watermark_params.lsh_d) AS d FROM samples GROUP BY run_id)
+SELECT d.run_id, d.id, coalesce(s.d, m.d) AS lsh_d, CASE WHEN s.d IS NOT NULL THEN 'watermarked' WHEN m.d IS NOT NULL THEN 'summary' ELSE 'missing' END AS origin FROM (SELECT DISTINCT run_id, id FROM details) d LEFT JOIN s ON s.run_id = d.run_id AND s.id = d.id LEFT JOIN m ON m.run_id = d.run_id""")
 def compare_parameters(spark: SparkSession, d: str) -> DataFrame:
-    """Where a result's plane count comes from: its sample's, else the default."""
-    s = table(spark, d, "samples").groupBy("run_id", "id").agg(F.max_by("watermark_params.lsh_d", F.when(F.col("watermark_params.lsh_d").isNotNull(), F.col("record_id"))).alias("d"))
-    r = table(spark, d, "details").select("run_id", "id").distinct().join(s, ["run_id", "id"], "left")
-    return r.select("run_id", "id", F.coalesce("d", F.lit(4)).alias("lsh_d"), F.when(F.col("d").isNotNull(), "sample").otherwise("missing").alias("origin"))
+    """Where a result's plane count comes from: its sample's own, else its run's, here the greatest in the run, else nowhere."""
+    t = table(spark, d, "samples").select("run_id", "id", "record_id", F.col("watermark_params.lsh_d").alias("d"))
+    s = t.groupBy("run_id", "id").agg(F.max_by("d", F.when(F.col("d").isNotNull(), F.col("record_id"))).alias("d"))
+    m = t.groupBy("run_id").agg(F.max("d").alias("d"))
+    r = table(spark, d, "details").select("run_id", "id").distinct().join(s, ["run_id", "id"], "left").join(m.withColumnRenamed("d", "of_run"), "run_id", "left")
+    value, origin = regress.preferred([("watermarked", F.col("d")), ("summary", F.col("of_run"))])
+    return r.select("run_id", "id", value.alias("lsh_d"), origin.alias("origin"))
 
 
 @query(_DELTA + """ SELECT run_id, count(*) AS n_shared, count(*) FILTER (flip = 'lost') AS n_lost, count(*) FILTER (flip = 'gained') AS n_gained, count(*) FILTER (z < 0) AS n_z_drop,
@@ -102,10 +105,13 @@ SELECT CAST((b.parent_node_type <> 'module' AND b.entropy_units >= 10000 AND v.n
 def agg_switch_targets(spark: SparkSession, d: str) -> DataFrame:
     """Blocks in a body, of enough entropy and with more than one kind of sibling; null where a part is unknown."""
     b = table(spark, d, "blocks").distinct()
-    v = b.groupBy("run_id", "id", "parent_node_type").agg(F.count_distinct("node_type").alias("n"))
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("run_id", "id", "parent_node_type")]
-    target = ((F.col("b.parent_node_type") != "module") & (F.col("b.entropy_units") >= 10000) & (F.col("v.n") >= 2)).cast("int")
-    return b.alias("b").join(v.alias("v"), same).groupBy(target.alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    # Counted before the join: the blocks of one task, however many, are a few rows for each kind of parent.
+    by = ["run_id", "id", "parent_node_type"]
+    c = b.groupBy(*by, (F.col("entropy_units") >= 10000).alias("much")).agg(F.count(F.lit(1)).alias("c"))
+    v = b.groupBy(*by).agg(F.count_distinct("node_type").alias("n"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"v.{k}")) for k in by]
+    target = ((F.col("c.parent_node_type") != "module") & F.col("c.much") & (F.col("v.n") >= 2)).cast("int")
+    return c.alias("c").join(v.alias("v"), same).groupBy(target.alias("target")).agg(F.sum("c").alias("n"))
 
 
 @query("SELECT run_id, round(avg(epoch(arrived_at) - epoch(CAST(run_day AS TIMESTAMP))), 3) AS mean_delay FROM blocks GROUP BY run_id")

@@ -289,3 +289,16 @@ def test_hard_negatives(spark):
     assert {r.kind for r in texts.triplets(anchors, "g", "code", hard, 0.0).collect()} == {"other"}
     one = texts.triplets(anchors.filter("g = 0"), "g", "code", hard, 1.0).collect()
     assert len(one) == 50 and {r.kind for r in one} == {"hard"}
+
+
+def test_lexical_replay_counts_first_sights(spark):
+    import hashlib
+
+    code = "import os\na = b\na = b\na = b\nc = a\n"
+    df = spark.createDataFrame([(1, code), (2, None), (3, ""), (4, "import os")], "k int, code string")
+    got = {r.k: (r.num_positions_scored, r.num_green_hits) for r in texts.lexical_replay(df, "k", "code", "s").collect()}
+    bucket = lambda t: int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") % 1024
+    toks = [(bucket(t), safe) for _, t, _, _, safe in texts.tokens_of(code)]
+    grams = {tuple(b for b, _ in toks[max(0, i - 3) : i + 1]) for i, (_, safe) in enumerate(toks) if safe}
+    green = sum(hashlib.sha256(f"s:{','.join(map(str, g))}".encode()).digest()[0] & 1 for g in grams)
+    assert got == {1: (len(grams), green)} and len(grams) < sum(s for _, s in toks)

@@ -176,3 +176,18 @@ def test_whole_numbers_of_loose_values(spark):
     a, b = (r.r for r in df.collect())
     assert (a.rescued_blocks_delta, a.unrescued_blocks_delta, a.retry_summary, a.cascade_summary, a.failure_reason_counts) == (6, None, {"a_delta": 1, "b_delta": -2, "e_delta": 1}, {}, {"r": -3})
     assert (b.rescued_blocks_delta, b.retry_summary) == (None, {})
+
+
+def test_a_reference_must_be_there(spark):
+    refs = spark.createDataFrame([("a", 1), ("b", 2), ("", 3)], "id string, ref int")
+    have = spark.createDataFrame([("a", 9), ("b", 9), ("a", 9)], "id string, ref int")
+    assert sorted(r.ref for r in relate.must_match(have, refs, ["id"], "ref").collect()) == [1, 1, 2]
+    for bad in ("c", "", None):
+        with pytest.raises(Exception, match="no reference for"):
+            relate.must_match(spark.createDataFrame([(bad, 0)], "id string, ref int"), refs, ["id"], "ref").collect()
+
+
+def test_too_many_queries_are_an_error(spark):
+    q = spark.createDataFrame([(i, [1.0, 0.0], i) for i in range(5)], "k int, v array<double>, t int")
+    with pytest.raises(ValueError):
+        rank.retrieval_ranks(q, q.select("k", "v"), "k", "v", "t", most_queries=4)
