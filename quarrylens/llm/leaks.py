@@ -121,6 +121,7 @@ class _Index:
         self.ids = [i for i, _ in items]
         self.words = [w for _, ws in items for w in ws]
         toks, self.starts, self.owner = _lay_out([ws for _, ws in items], walk.window)
+        self.sets: dict[int, frozenset[str]] = {}
         self.sorted = []
         for key in walk.keys(toks, self.starts):
             order = np.argsort(key, kind="stable")
@@ -132,6 +133,13 @@ class _Index:
         one.__dict__ = self.__dict__ | {"walk": self.walk.only(rep), "sorted": self.sorted[rep : rep + 1]}
         return one
 
+    def said(self, start: int) -> frozenset[str]:
+        """The words of the item window that begins at ``start``."""
+        got = self.sets.get(start)
+        if got is None:
+            got = self.sets[start] = frozenset(self.words[start : start + self.walk.window])
+        return got
+
     def find(self, lists: list[list[str]], edits: int | None = None) -> dict[tuple[int, int], int]:
         """(list number, item id) -> least edit distance, verified."""
         walk, w = self.walk, self.walk.window
@@ -155,8 +163,13 @@ class _Index:
                         continue
                     if edits:
                         tried.add((at, k))
-                    mine = flat[s : s + w] if mine is None else mine
+                    if mine is None:
+                        mine = flat[s : s + w]
+                        have = set(mine)
                     t = int(self.starts[k])
+                    # an edit takes one word away at most, so no more of the item's words may be absent
+                    if edits and len(self.said(t) - have) > edits:
+                        continue
                     d = edit_distance(mine, self.words[t : t + w], edits)
                     if d <= edits and d < found.get(pair, d + 1):
                         found[pair] = d
@@ -268,7 +281,8 @@ def _joined(docs, items, walk: Walk, doc_key: str, item_key: str, text: str, dt:
 
         def verify(batches):
             for pdf in batches:
-                e = [edit_distance(a.split(" "), b.split(" "), walk.edits) for a, b in zip(pdf.dw, pdf.iw)]
+                both = [(a.split(" "), b.split(" ")) for a, b in zip(pdf.dw, pdf.iw)]
+                e = [edit_distance(a, b, walk.edits) if len(set(b) - set(a)) <= walk.edits else walk.edits + 1 for a, b in both]
                 yield pdf.assign(edits=pd.Series(e, dtype="int32", index=pdf.index)).query(f"edits <= {walk.edits}")
 
         pairs = pairs.mapInPandas(verify, "dw string, iw string, edits int")
