@@ -12,7 +12,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.llm.grammars.json import lexemes
@@ -108,18 +107,25 @@ def components(edges: DataFrame) -> DataFrame:
     so that rounds grow with the logarithm of a component's size and no component is gathered.
     """
     ends = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    of = W.partitionBy("u")
     edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before, now = None, ends(edges)
     while before != now:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(of))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.withColumn("m", F.min("v").over(of))
+        large = _with_least(both, 2 * now[0]).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _with_least(large, now[0])
         edges = materialize(least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
         before, now = now, ends(edges)
     return edges.select("u", F.col("v").alias("root"))
 
 
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` with ``m``, the least neighbour of u. A node with a large part of the edges is split over parts."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    # below the least size of a hot key none can be one
+    hot = [bytes(x) for x in hot_keys(least, "u", "n", n)] if n > 10_000 else []
+    return join_unique(edges, least.drop("n"), "u", hot, ["v"])
+
+
 def copies(df: DataFrame, key: str = "record_id", text: str = "generated_code", hot_share: float = 0.005, salts: int = 32) -> tuple[DataFrame, DataFrame]:
     """The distinct contents and the further copies of each.
 
@@ -139,9 +145,9 @@ def copies(df: DataFrame, key: str = "record_id", text: str = "generated_code",
     flats = d.groupBy("flat_digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("head"))
     # Trees that several texts share link these; one record stands for each text of such a tree.
     trees = d.filter(F.col("tree_digest").isNotNull()).groupBy("tree_digest", "flat_digest").agg(F.min(key).alias(key))
-    texts_of = W.partitionBy("tree_digest")
-    trees = trees.withColumn("m", F.min("flat_digest").over(texts_of)).withColumn("last", F.max("flat_digest").over(texts_of)).withColumn("first_key", F.min(F.struct("flat_digest", key)).over(texts_of)[key])
-    trees = materialize(trees.filter("m <> last"))
+    per_tree = trees.groupBy("tree_digest").agg(F.min("flat_digest").alias("m"), F.min_by(key, F.struct("flat_digest", key)).alias("first_key"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    many_texts = [bytes(x) for x in hot_keys(per_tree, "tree_digest", "texts", d.count(), hot_share)]
+    trees = materialize(join_unique(trees, per_tree, "tree_digest", many_texts, ["flat_digest"], salts))
     roots = components(trees.select(F.col("flat_digest").alias("u"), F.col("m").alias("v"))).withColumnRenamed("u", "flat_digest")
     flats = materialize(flats.join(roots, "flat_digest", "left").withColumn("class", F.coalesce("root", "flat_digest")).drop("root"))
     groups = flats.groupBy("class").agg(F.sum("n").alias("n_all"), F.min("head").alias("first_id"))

@@ -88,3 +88,12 @@ def test_a_collision_is_an_error(spark, monkeypatch, text, other):
     monkeypatch.setattr(C, "_h", short)
     with pytest.raises(Exception, match="digest collision"):
         pairs(spark, rows)
+
+
+def test_one_object_in_very_many_orders(spark):
+    # one tree under thousands of texts, more than a task should gather; a hub of the graph of texts
+    rnd = random.Random(1)
+    fields = [f'"f{i}": {i}' for i in range(9)]
+    rows = [(i, "{" + ", ".join(rnd.sample(fields, 9)) + "}", "") for i in range(10_500)]
+    got, distinct = pairs(spark, rows)
+    assert [f for f, _ in got] == [0] * 10_499 and distinct == [(0, 10_500)]
