@@ -152,7 +152,22 @@ SELECT record_id, json_valid(CASE WHEN code_form = 'completion' THEN coalesce(pr
 FROM (SELECT record_id, file_path, code_form, prompt, generated_code FROM samples UNION ALL SELECT record_id, file_path, code_form, prompt, generated_code FROM negative_corpus)
 WHERE generated_code IS NOT NULL AND regexp_matches(lower(file_path), '\\.json$')"""
 
+# Records linked by letters and digits or by the sorted leaves of their JSON objects; links over several records in turn.
+_FLAT = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_ROUNDS = 4
+_COPIES = f"""
+WITH RECURSIVE c AS (SELECT record_id, generated_code AS t, {_FLAT.format("generated_code")} AS f FROM (SELECT record_id, generated_code FROM samples UNION ALL SELECT record_id, generated_code FROM negative_corpus) WHERE generated_code IS NOT NULL),
+w AS (SELECT record_id, '' AS path, CAST(t AS JSON) AS v FROM c WHERE json_valid(t) AND json_type(t) = 'OBJECT'
+  UNION ALL SELECT record_id, e.p, e.x FROM (SELECT record_id, unnest(CASE json_type(v)
+    WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {{'p': path || '/' || {_FLAT.format("k")}, 'x': json_extract(v, '$."' || k || '"')}})
+    WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {{'p': path || '#' || i, 'x': json_extract(v, '$[' || i || ']')}}) ELSE [] END) AS e FROM w)),
+j AS (SELECT record_id, string_agg(x, '|' ORDER BY x) AS tree FROM (SELECT record_id, path || '=' || CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN json_type(v) ELSE {_FLAT.format("CAST(v AS VARCHAR)")} END AS x FROM w) GROUP BY record_id),
+s0 AS (SELECT record_id, f, tree, record_id AS m FROM c LEFT JOIN j USING (record_id)),
+{", ".join(f"a{n} AS (SELECT record_id, f, tree, min(m) OVER (PARTITION BY f) AS m FROM s{n - 1}), s{n} AS (SELECT record_id, f, tree, CASE WHEN tree IS NULL THEN m ELSE min(m) OVER (PARTITION BY tree) END AS m FROM a{n})" for n in range(1, _ROUNDS + 1))}"""
+
 ORACLES = {
+    "p5_found": _COPIES + f" SELECT m AS first_id, record_id AS copy_id FROM s{_ROUNDS} WHERE m <> record_id",
+    "p5_distinct": _COPIES + f" SELECT m AS record_id, count(*) AS n_copies FROM s{_ROUNDS} GROUP BY m",
     "p1_json": _JSON,
     "p7_found": _SHARED + " SELECT doc_id, item_id FROM f",
     "p7_items": _SHARED + " SELECT e.item_id, e.suite, count(f.doc_id) AS n_docs FROM eval_items e LEFT JOIN f USING (item_id) GROUP BY ALL",
