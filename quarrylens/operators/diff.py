@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
 import numpy as np
@@ -103,7 +104,8 @@ def _flat(prefix: str, arr: pa.Array):
 
 
 def _text(arr: pa.Array) -> list:
-    return [None if v is None else (v if isinstance(v, str) else repr(v)) for v in arr.to_pylist()]
+    """Values as text: texts as they are, all else as compact JSON, with NaN, Infinity and times in their usual form."""
+    return [v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"), default=str) for v in arr.to_pylist()]
 
 
 def _order(v) -> tuple:
@@ -149,7 +151,7 @@ def _latest_in_batch(keys: list[str], ranked: bool, bounds: list[tuple]):
 
 
 def diff_tables(left: DataFrame, right: DataFrame, keys: list[str], latest: str | None = None, eps: float = 1e-9, missing: tuple[str, str] = ("missing_in_right", "missing_in_left"), rows_per_part: int = 25_000) -> DataFrame:
-    """Rows ``(keys..., field, left_value, right_value)``: keys that one copy lacks, and fields that differ.
+    """Rows ``(keys..., field, left_value, right_value)``: keys that one copy lacks, and fields that differ, as text or JSON.
 
     Of several rows of a key the one with the greatest ``latest`` counts (null is the least; equal ones
     with other content are settled by a hash of the content, the same in both copies); exact repeats count

@@ -196,6 +196,14 @@ _CHECKS = ",\n  ".join(
         OR (z[1].rebuilt <> z[2].rebuilt AND NOT coalesce(abs(z[1].rebuilt - z[2].rebuilt) <= 1e-9, FALSE)))) THEN '{_CA}.numeric_mismatches' END""",
     ]
 )
+def _shown(side: str, field: str) -> str:
+    if field in _REAL:
+        x = f"{side}.{field}"
+        return f"CASE WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE CAST({x} AS VARCHAR) END"
+    return f"CAST(to_json({side}.{field}) AS VARCHAR)" if field.endswith("mismatches") else f"CAST({side}.{field} AS VARCHAR)"
+
+
+_NAMES = _DETAIL + [f"{_CA}.{n}" for n in _ALIGN] + [f"{_CA}.structure_mismatches", f"{_CA}.numeric_mismatches"]
 _P6 = f"""
 WITH a AS (SELECT * FROM details QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY loaded_at DESC NULLS LAST) = 1),
 b AS (SELECT * FROM details_recheck QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY loaded_at DESC NULLS LAST) = 1)
@@ -203,7 +211,14 @@ SELECT run_id, id, 'missing_in_recheck' AS field FROM a ANTI JOIN b USING (run_i
 UNION ALL SELECT run_id, id, 'missing_in_details' FROM b ANTI JOIN a USING (run_id, id)
 UNION ALL SELECT run_id, id, field FROM (SELECT a.run_id, a.id, unnest([{_CHECKS}]) AS field FROM a JOIN b ON a.run_id = b.run_id AND a.id = b.id) WHERE field IS NOT NULL"""
 
+_P6_VALUES = f"""
+WITH d AS ({_P6}), a AS (SELECT * FROM details QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY loaded_at DESC NULLS LAST) = 1),
+b AS (SELECT * FROM details_recheck QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY loaded_at DESC NULLS LAST) = 1)
+SELECT d.run_id, d.id, d.field, CASE d.field {" ".join(f"WHEN '{n}' THEN {_shown('a', n)}" for n in _NAMES)} END AS left_value, CASE d.field {" ".join(f"WHEN '{n}' THEN {_shown('b', n)}" for n in _NAMES)} END AS right_value
+FROM d LEFT JOIN a ON a.run_id = d.run_id AND a.id = d.id LEFT JOIN b ON b.run_id = d.run_id AND b.id = d.id"""
+
 ORACLES = {
+    "p6_differences": _P6_VALUES,
     "p3_found": f"""
 SELECT 'blocks' AS child, record_id, parent_pos, pos FROM ({_element("samples", "record_id", "blocks", "1 AS x")})
 UNION ALL SELECT 'retry_attempts', ledger_id, parent_pos, pos FROM ({_element("ledger", "ledger_id", "retry_attempts", "1 AS x")})

@@ -288,7 +288,10 @@ def mark_separation(spark: SparkSession, d: str) -> DataFrame:
     return g.select("label", r6(F.col("p"), "mean_pos"), r6(F.col("n"), "mean_neg"), r6(F.col("p") - F.col("n"), "separation"), r6(F.col("loss"), "triplet_loss"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT vec_id, list_transform(list_sort(list_transform(range(1, len(embedding) + 1), lambda i: {{'v': -CAST(embedding[i] AS DOUBLE), 'i': i - 1}})), lambda s: s.i) AS o,
+sha256(from_hex(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(CAST(label AS VARCHAR)))))) || from_hex('0000000000000000')) AS h FROM embeddings),
+b AS (SELECT vec_id, o, list_transform(range((len(o) + 1) // 2), lambda n: (CAST('0x' || substr(h, CAST(2 * (n // 8) + 1 AS BIGINT), 2) AS INTEGER) >> CAST(n % 8 AS INTEGER)) & 1) AS bits FROM o)
+SELECT vec_id, list_sort(list_filter(list_transform(range(len(bits)), lambda n: CAST(o[2 * n + 1 + bits[n + 1]] AS INTEGER)), lambda x: x IS NOT NULL)) AS green FROM b""")
 def mark_green(spark: SparkSession, d: str) -> DataFrame:
     """The keyed green half of each vector read as logits; held against fixed sets in the tests."""
     return table(spark, d, "embeddings").select("vec_id", marks.green_tokens(F.transform("embedding", lambda x: x.cast("double")), F.array(F.col("label").cast("int")), KEY).alias("green"))
