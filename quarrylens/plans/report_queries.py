@@ -12,7 +12,7 @@ from quarrylens.plans.relate_queries import _DELTA
 from quarrylens.plans.stat_queries import r6
 from quarrylens.session import shared_folder
 from quarrylens.sources import jsonl
-from quarrylens.sources.tables import table
+from quarrylens.sources.tables import load_splits, normal_source, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,17 @@ def scan_last_written(spark: SparkSession, d: str) -> DataFrame:
         t.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{n}")
     newest = jsonl.latest_file(spark, f"{folder}/*/*.parquet").first()
     return spark.read.parquet(newest.path).select("n")
+
+
+_GIVEN = "generated_code IS NOT NULL AND length(trim(regexp_replace(generated_code, '\\s', '', 'g'))) > 0"
+
+
+@query(f"SELECT CASE WHEN record_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, id AS task_id, CASE WHEN dataset = 'humaneval' THEN coalesce(prompt, '') || generated_code ELSE generated_code END AS source FROM negative_corpus WHERE {_GIVEN}")
+def scan_splits(spark: SparkSession, d: str) -> DataFrame:
+    """A data set of two splits, read as one table of whole reference solutions."""
+    folder = _place(spark, "splits")
+    t = table(spark, d, "negative_corpus").filter("length(trim(regexp_replace(generated_code, '\\\\s', ''))) > 0")
+    for name, part in (("test", t.filter("record_id % 5 = 0")), ("train", t.filter("record_id % 5 <> 0").withColumn("extra", F.lit(1)))):
+        part.select("id", "dataset", "prompt", "generated_code", *[c for c in part.columns if c == "extra"]).write.parquet(f"{folder}/{name}")
+    got = load_splits(spark, folder, {"task_id": "id", "dataset": "dataset", "prompt": "prompt", "solution": "generated_code"})
+    return got.select("split", "task_id", normal_source(F.col("dataset"), F.col("prompt"), F.col("solution")).alias("source"))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.sources import jsonl
 
@@ -80,3 +81,20 @@ def test_pair(spark, tmp_path):
     df = spark.range(3)
     jsonl.write_pair(df, str(tmp_path / "a"), df.limit(1), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == 1
+
+
+def test_splits_and_empty_solutions(spark, tmp_path):
+    from quarrylens.sources.tables import load_splits, normal_source
+
+    spark.createDataFrame([(1, "p", "c"), (2, None, "d")], "id int, prompt string, code string").write.parquet(str(tmp_path / "s" / "train"))
+    spark.createDataFrame([(3, "e", 0)], "id int, code string, other int").write.parquet(str(tmp_path / "s" / "test"))
+    got = load_splits(spark, str(tmp_path / "s"), {"id": "id", "prompt": "prompt", "code": "code"})
+    assert sorted(map(tuple, got.collect())) == [("test", 3, None, "e"), ("train", 1, "p", "c"), ("train", 2, None, "d")]
+    whole = lambda name: {r.s for r in got.select(normal_source(F.lit(name), F.col("prompt"), F.col("code")).alias("s")).collect()}
+    assert whole("humaneval") == {"pc", "d", "e"} and whole("mbpp") == {"c", "d", "e"}
+    for bad in (None, "", " \n"):
+        with pytest.raises(Exception, match="empty solution"):
+            spark.createDataFrame([("x", bad)], "p string, c string").select(normal_source(F.lit("mbpp"), F.col("p"), F.col("c"))).collect()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception):
+        load_splits(spark, str(tmp_path / "none"), {"id": "id"})
