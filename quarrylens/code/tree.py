@@ -5,8 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterable
-from functools import lru_cache
-
+from functools import cached_property, lru_cache
 
 _LINE_END = re.compile(r"\r\n|\r|\n")  # as the parser counts lines
 
@@ -17,6 +16,7 @@ class Source:
     def __init__(self, text: str):
         self.text = text
         self.tree = ast.parse(text)
+        self._of_kind: dict[tuple, list[ast.AST]] = {}
         ends = [m.span() for m in _LINE_END.finditer(text)]
         self.starts = [0, *(b for _, b in ends)]
         self.lines = [text[a:b] for a, b in zip(self.starts, [*(a for a, _ in ends), len(text)])]
@@ -34,10 +34,16 @@ class Source:
         a, b = self.span(node)
         return self.text[a:b]
 
-    def walk(self, *kinds):
-        for n in ast.walk(self.tree):
-            if isinstance(n, kinds):
-                yield n
+    def walk(self, *kinds: type) -> list[ast.AST]:
+        """All nodes of these kinds, from the top down; the tree is walked once, however many rules ask."""
+        got = self._of_kind.get(kinds)
+        if got is None:
+            got = self._of_kind[kinds] = [n for n in self._nodes if isinstance(n, kinds)]
+        return got
+
+    @cached_property
+    def _nodes(self) -> list[ast.AST]:
+        return list(ast.walk(self.tree))
 
     def body_text(self, body: list[ast.stmt]) -> tuple[int, int]:
         """The span of whole lines of a block's statements, or of the statements on a line with the colon."""
