@@ -357,14 +357,15 @@ def _bounded(df: DataFrame, most: int, what: str) -> list:
     return got
 
 
-def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str], stream: list[str] | None = None, file: str = "file_name", stamp: str = "file_stamp", line: str = "raw_line", max_columns: int = 2000) -> DataFrame:
+def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str], stream: list[str] | None = None, file: str = "file_name", stamp: str = "file_stamp", line: str = "raw_line", max_columns: int = 2000, aliases: dict[str, str] | None = None) -> DataFrame:
     """One table of all records: a column for each field under one name, cast to one type.
 
     ``log`` is the result of ``changes`` of the same lines, ``foot`` of ``footers`` with shapes. All names that renames
     link, over all streams, are one field with one column: a rename links the life of the old name that ends
     with the life of the new name that begins, so that a name taken up again for another field is told apart,
     and A -> B -> A is one field. Names that stand side by side in a file stay apart. The column has the name
-    that most streams end with, then the first by name. Its paths stand in its metadata (``paths``).
+    that most streams end with, then the first by name. Its paths stand in its metadata (``paths``). ``aliases`` adds
+    old names and new ones that no shared record links.
 
     Casts: an object that says one plain value (``value``, beside it only the same as text) is that value, and an
     array of one plain value is that value where the field is plain elsewhere and never a longer array. A column
@@ -388,6 +389,7 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
         renames = renames.alias("l").join(here_.alias("w"), [*on("l", "w", [*stream, "seq"]), F.col(f"l.{side}") == F.concat("w.path", F.lit(".value"))], "left").withColumn(side, F.coalesce("w.path", f"l.{side}")).select(*[f"l.{c}" for c in stream], *[side if side == c else f"l.{c}" for c in ("old_path", "field_path", "seq")])
     renames = materialize(renames.filter("old_path <> field_path").distinct())
     named = {p for r in _bounded(renames.select("old_path", "field_path").distinct(), max_columns * 10, "renames") for p in r}
+    named |= {p for pair in (aliases or {}).items() for p in pair}
     # Lives of all paths that have or had another name somewhere, and of what lies below them.
     below = (F.col("path") == F.col("n")) | F.expr("startswith(path, n || '.')")
     touched = spans.filter("NOT contains(path, '[]')").select("path").distinct().join(F.broadcast(foot.sparkSession.createDataFrame([(n,) for n in sorted(named)], "n string")), below).select("path").distinct()
@@ -406,6 +408,8 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
     # One group is the lives of the renamed paths of one stream.
     chains = materialize(rows.groupBy(*stream).applyInPandas(chain, f"{types}, path string, a int, b int, chain array<string>"))
     times = {tuple(r.chain): r.n for r in _bounded(chains.groupBy("chain").agg(F.count_distinct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in stream]).alias("n")), max_columns * 10, "chains of renames")}
+    for pair in (aliases or {}).items():
+        times.setdefault(pair, 0)
     beside = chains.alias("x").join(chains.alias("y"), [*on("x", "y", stream), F.col("x.chain") < F.col("y.chain"), F.col("x.a") <= F.col("y.b"), F.col("y.a") <= F.col("x.b")])
     apart = {frozenset((tuple(r.u), tuple(r.v))) for r in _bounded(beside.select(F.col("x.chain").alias("u"), F.col("y.chain").alias("v")).distinct(), max_columns * 1000, "pairs of names")}
 
@@ -413,10 +417,13 @@ def consistent(lines: DataFrame, log: DataFrame, foot: DataFrame, keep: list[str
     used: set[str] = set()
     for group in sorted(_classes(times, apart), key=lambda g: (-max(map(len, g)), g)):
         ends: dict[str, int] = {}
+        real = any(len(c) > 1 and times[c] for c in group)
         for c in group:
-            if len(c) > 1 or len(group) == 1:
+            if times[c] and (len(c) > 1 or not real):
                 ends[c[-1]] = ends.get(c[-1], 0) + times[c]
-        name = min(ends or {c[-1]: 0 for c in group}, key=lambda n: (-ends.get(n, 0), n))
+        # the new name of a given alias, where the field has it
+        given = {c[-1] for c in group if not times[c]} & {n for c in group if times[c] for n in c}
+        name = min(ends or {c[-1]: 0 for c in group}, key=lambda n: (n not in given, -ends.get(n, 0), n))
         while name in used:
             name += "_"
         used.add(name)

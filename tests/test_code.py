@@ -302,3 +302,17 @@ def test_lexical_replay_counts_first_sights(spark):
     grams = {tuple(b for b, _ in toks[max(0, i - 3) : i + 1]) for i, (_, safe) in enumerate(toks) if safe}
     green = sum(hashlib.sha256(f"s:{','.join(map(str, g))}".encode()).digest()[0] & 1 for g in grams)
     assert got == {1: (len(grams), green)} and len(grams) < sum(s for _, s in toks)
+
+
+def test_every_rewriting_of_stored_code_parses(sf):
+    import ast
+
+    import duckdb
+
+    from quarrylens.code.rules import RULES, apply_rule
+
+    rows = duckdb.sql(f"SELECT coalesce(CASE WHEN code_form = 'completion' THEN prompt END, '') || generated_code FROM '{sf}/samples.parquet' WHERE generated_code IS NOT NULL AND file_path LIKE '%.py'").fetchall()
+    got = [(x, y) for (x,) in rows for r in RULES if (y := apply_rule(r, x)) is not None]
+    assert len(got) > 200
+    for x, y in got:
+        assert x != y and ast.parse(y)

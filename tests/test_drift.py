@@ -153,3 +153,14 @@ def test_opposite_renames_in_three_streams(spark):
     for t in got:
         assert sorted(r[name] for r in t.collect()) == [1, 1, 1, 2, 2, 3, 3] and dict(t.dtypes)[name] == "double"
         assert set(t.schema[name].metadata["paths"]) == {"z", "Z", "score.z"}
+
+
+def test_given_aliases(spark):
+    # no record links the names, and where both stand in one file they stay apart
+    t = lines(spark, [{"id": "1", "n": 1, "q": 4}]).unionByName(lines(spark, [{"id": "2", "m": 2, "q": 5, "r": 6}], stream="t"))
+    foot = footers(t, ["artifact", "stream", "file_name", "file_stamp"], "raw_line", shapes=True)
+    plain = consistent(t, changes(t), foot, ["stream"])
+    assert {"n", "m", "q", "r"} <= set(plain.columns)
+    got = consistent(t, changes(t), foot, ["stream"], aliases={"n": "m", "q": "r"})
+    assert "n" not in got.columns and sorted(r.m for r in got.collect()) == [1, 2] and got.schema["m"].metadata["paths"] == ["m", "n"]
+    assert sorted((r.q, r.r) for r in got.collect()) == [(4, None), (5, 6)]
