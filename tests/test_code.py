@@ -316,3 +316,66 @@ def test_every_rewriting_of_stored_code_parses(sf):
     assert len(got) > 200
     for x, y in got:
         assert x != y and ast.parse(y)
+
+
+def _permuted(code, mode, longest, most):
+    # as the rule engine does it: each choice from the source on, cut at the cap
+    names = [n for n in (POSITIVE if mode == "positive" else NEGATIVE) if apply_rule(n, code) is not None]
+    out = []
+    for length in range(1, min(len(names), longest) + 1):
+        for chosen in itertools.permutations(names, length):
+            now = code
+            for n in chosen:
+                now = now and apply_rule(n, now)
+            if now is not None:
+                out.append((list(chosen), now))
+            if len(out) == most:
+                return out
+    return out
+
+
+_CUT = [
+    "import os\n\n\n@dec(1 + 2)\ndef get_x(a_b, cD=[]):\n    # a_b\n    if a_b < cD and a_b:\n    \tx_y = a_b + 1\n    for i_j in range(a_b):\n        ## note\n        print(i_j, sorted([]))\n    else:\n        pass\n    return x_y\n# end\nif __name__ == '__main__':\n    print(get_x(1 + 2) == 3)\n",
+    "class A(b_c):\n    @p\n    def get_it(self): return max(x for x in self) + 1\n    def make_it(self): \\\n        return {} == [] + 'get_it'\n",
+    "x_y = 1; z = x_y + 2\nfor aB in z: print(aB)\nwith open(x_y) as f:\n    s = '''\n## no\n''' + str(x_y + 1)\n  # odd\ny = not not s",
+    "try:\n    a = [] + b\nexcept E:\n    if a == b:\n        raise\n    elif a <= b and c in d:\n        a += [1]\nwhile a != b:\n    break\n",
+    "def é(ü_a):\r\n    yield 'ß' == ü_a + 1\r\n    if ü_a <= 2:\r\n        d.keys().append(min(1, 2))\r\n    else:\r\n        exit(0)\r\n",
+    "i = j\nj += k[::-1]\nif i == j and k:\n    print(i + j)",
+]
+
+
+@pytest.mark.parametrize("code", _CUT)
+def test_counts_of_variants_are_those_of_whole_sources(code):
+    from quarrylens.code.rules import count_variants
+
+    for mode in ("positive", "negative"):
+        for longest, most in ((3, 10**6), (4, 150)):
+            want = _permuted(code, mode, longest, most)
+            assert [(r, t) for _, r, t in variants(code, mode, longest, most)] == want
+            assert count_variants(code, mode, longest, most) == len(want)
+        assert count_variants("def (", mode) == count_variants("pass", mode) == 0
+
+
+def test_variants_parse_little_more_than_what_changes(monkeypatch):
+    from quarrylens.code import tree
+    from quarrylens.code.rules import count_variants
+
+    fixed = "".join(f"def f{i}(a):\n    return call(a, {i})\n\n\n" for i in range(50))
+    code = fixed + "my_name = 1\nprint([] + b)\nif a < b and c:\n    x=1\nfor i in range(3):\n    {} == dict()\n"
+    assert tree.source(code) is not None
+    read, parse = [], tree.ast.parse
+    monkeypatch.setattr(tree.ast, "parse", lambda t: read.append(len(t)) or parse(t))
+    assert count_variants(code) == 1000 and sum(read) < 15 * len(code)
+
+
+def test_transform_totals_take_only_counts_from_python(spark, tmp_path):
+    def write(name, codes, first):
+        spark.createDataFrame([(first + i, "t", "a.py", "file", None, c) for i, c in enumerate(codes)], "record_id bigint, id string, file_path string, code_form string, prompt string, generated_code string").write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    codes = ["x = [] + y", "x = [] + y", "a == b", "pass", "def (", None]
+    write("samples", codes, 0)
+    write("negative_corpus", ["x = [] + y"], 10)
+    q = code_queries.QUERIES["code_transform_totals"](spark, str(tmp_path))
+    each = {m: [len(list(variants(c, m))) for c in [*codes, codes[0]] if c] for m in ("positive", "negative")}
+    assert {tuple(r) for r in q.collect()} == {(m, 6, sum(n > 0 for n in ns), sum(ns)) for m, ns in each.items()}
+    assert "transformed_source" not in q._jdf.queryExecution().toString()
