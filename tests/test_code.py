@@ -379,3 +379,20 @@ def test_transform_totals_take_only_counts_from_python(spark, tmp_path):
     each = {m: [len(list(variants(c, m))) for c in [*codes, codes[0]] if c] for m in ("positive", "negative")}
     assert {tuple(r) for r in q.collect()} == {(m, 6, sum(n > 0 for n in ns), sum(ns)) for m, ns in each.items()}
     assert "transformed_source" not in q._jdf.queryExecution().toString()
+
+
+def test_variants_leave_python_as_different_texts(spark):
+    code = "x = [] + y\nprint(a < b and c)\n"
+    wide = f"# {'é' * 6_000_000}\nx = [] + f(y)\nprint(1)\n"
+    df = spark.createDataFrame([(1, code), (2, code), (3, None), (4, "pass"), (5, wide)], "k int, code string")
+    modes = ("positive", "negative")
+    got = texts.explode_variants(df.filter("k < 5"), "k", "code", *modes)
+    want = [(k, n, r, t, m) for k in (1, 2) for m in modes for n, r, t in variants(code, m)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
+    lists = texts._variant_lists(df, ["k"], "code", modes, 5, 1000).selectExpr("k", "size(texts) AS n_texts", "size(choices) AS n", "first").collect()
+    assert sum(r.n for r in lists if r.k < 5) == len(want) > 8 * sum(r.n_texts for r in lists if r.k < 5)
+    # a source of long texts has several rows
+    at = [r for r in lists if r.k == 5 and r.n_texts * 6_000_000 < 2**26]
+    assert len(at) > 1
+    ids = texts.explode_variants(df.filter("k = 5"), "k", "code").select("variant_id", F.length("transformed_source").alias("n")).collect()
+    assert sorted((r.variant_id, r.n) for r in ids) == [(n, len(t)) for n, _, t in variants(wide)]
