@@ -396,3 +396,19 @@ def test_variants_leave_python_as_different_texts(spark):
     assert len(at) > 1
     ids = texts.explode_variants(df.filter("k = 5"), "k", "code").select("variant_id", F.length("transformed_source").alias("n")).collect()
     assert sorted((r.variant_id, r.n) for r in ids) == [(n, len(t)) for n, _, t in variants(wide)]
+
+
+def test_triplets_of_sources_are_those_of_their_variants(spark):
+    codes = [f"a = [] + b{i}\nprint(a < {i} and a == b{i})\n" for i in range(12)] + ["x = [] + y", "x = [] + y", "print(z)", "a == b", "pass", "def (", None]
+    df = spark.createDataFrame(list(enumerate(codes)), "k int, code string")
+    v = lambda m, n: texts.explode_variants(df, "k", "code", m).select("k", F.col("transformed_source").alias(n))
+    want = texts.triplets(df.join(v("positive", "positive"), "k"), "k", "code", v("negative", "negative")).collect()
+    q = texts.triplets_of_sources(df, "k", "code")
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want)) and {r.kind for r in want} == {"hard", "other"}
+    assert {r.kind for r in texts.triplets_of_sources(df, "k", "code", 0.0).collect()} == {"other"}
+    one = texts.triplets_of_sources(df.filter("k = 0"), "k", "code", 1.0).collect()
+    assert {r.kind for r in one} == {"hard"} and len(one) == len(list(variants(codes[0])))
+    assert texts.triplets_of_sources(df.filter("k > 14"), "k", "code").count() == 0
+    # what is made of a source is neither shuffled nor joined
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan.partition("MapInArrow")[0] for x in ("Join", "Window", "Repartition", "Aggregate"))
