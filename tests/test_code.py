@@ -412,3 +412,30 @@ def test_triplets_of_sources_are_those_of_their_variants(spark):
     # what is made of a source is neither shuffled nor joined
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not any(x in plan.partition("MapInArrow")[0] for x in ("Join", "Window", "Repartition", "Aggregate"))
+
+
+def test_triplets_of_sources_move_each_source_once(spark, monkeypatch):
+    # one text of many rows, others of one or two, and some without variants, over fewer and more rows than there are ranges
+    codes = ["a = [] + b\n"] * 90 + [f"x{i % 70} = [] + y\n" for i in range(90)] + [f"z{i}\n" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(codes)), "k int, code string")
+    v = lambda m, n: texts.explode_variants(df, "k", "code", m).select("k", F.col("transformed_source").alias(n))
+    want = texts.triplets(df.join(v("positive", "positive"), "k"), "k", "code", v("negative", "negative")).collect()
+    monkeypatch.setattr(texts, "materialize", None)  # no source goes to the shared folder
+    q = texts.triplets_of_sources(df, "k", "code")
+    assert q._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want)) and len({r.anchor for r in want}) == 71
+    assert texts.triplets_of_sources(df.filter("k >= 180"), "k", "code").count() == 0
+    assert {r.kind for r in texts.triplets_of_sources(df.filter("k < 90"), "k", "code").collect()} == {r.kind for r in want if r.anchor == codes[0]} - {"other"}
+
+
+def test_first_texts_of_ranges_are_found_wherever_they_are(spark):
+    from quarrylens.code.rules import fits_any
+
+    codes = [f"x{i} = [] + y\n" if i % 5 == 0 else f"z{i}\n" for i in range(400)]
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    h = F.xxhash64(F.lit(3), "code")
+    fit = sorted((r.h, r.code) for r in df.select(h.alias("h"), "code").collect() if fits_any(r.code))
+    starts = sorted([((i << 28) - (1 << 31)) << 32 for i in range(16)] + [fit[7][0], fit[7][0] + 1])
+    want = sorted({next(x for x in fit if x[0] >= a) for a in starts if fit[-1][0] >= a})
+    for rows in (0, 1, 8, 64):
+        assert texts._firsts(df, "code", h, starts, 16, 400, rows) == want
